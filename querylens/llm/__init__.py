@@ -4,10 +4,16 @@ from __future__ import annotations
 
 
 def queries():
-    from . import token_files as op8
+    from . import mixing, packing, token_files
 
-    return {"op8_token_files": op8.op8_token_files}
+    return {
+        "op3_packing": packing.op3_packing,
+        "op5_mixing": mixing.op5_mixing,
+        "op8_token_files": token_files.op8_token_files,
+    }
 
 
 def oracle_sql():
-    return {}
+    from . import mixing
+
+    return {"op5_mixing": mixing.OP5_SQL}
