@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries():
-    from . import minhash_dedup, mixing, packing, token_files, toxicity_fm
+    from . import media_chunks, minhash_dedup, mixing, packing, secret_index, token_files, toxicity_fm
 
     return {
+        "op1_media_chunks": media_chunks.op1_media_chunks,
         "op3_packing": packing.op3_packing,
         "op5_mixing": mixing.op5_mixing,
+        "op6_secret_index": secret_index.op6_secret_index,
         "op8_token_files": token_files.op8_token_files,
         "op9_toxicity": toxicity_fm.op9_toxicity,
         "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
