@@ -166,16 +166,16 @@ def _verify(edges: DataFrame, content: DataFrame, k: int, threshold: int, count:
 
 
 def sketch(docs: DataFrame, k: int, count: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, key, sig) of each document (doc_id, text)."""
+    """(rid, doc_id, text_hash, n_shingles, key, sig) of each document (rid, doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             data, at = bytes_of(batch.column("text"))
             h, s = shingle_sets(data, at, k)
             sig = signatures(h, s, count)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(s), pa.int64()), pa.array(set_keys(h, s), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "key", "sig"])
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(s), pa.int64()), pa.array(set_keys(h, s), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["rid", "doc_id", "text_hash", "n_shingles", "key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key binary, sig binary")
+    return docs.select("rid", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "rid long, doc_id long, text_hash long, n_shingles long, key binary, sig binary")
 
 
 def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int, threshold: int, bands: int, rows: int) -> DataFrame:
@@ -203,7 +203,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int,
 
     # Texts of the classes that share a bucket, by the document that stands for the class.
     wanted = popular.select("key").join(classes, "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     content = texts.join(wanted, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     content = scratch.table(content.select("key", "sig", "text").dropDuplicates(["key"]), "content", "zstd")
     free_shuffles(spark)
@@ -243,21 +243,38 @@ def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int,
     return components(roots.toDF("a", "b").unionByName(more), scratch, "second")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, key, component_id, kept of each document (doc_id, text)."""
-    spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark)
+def labelled(docs: DataFrame, scratch: Scratch, k: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """rid, doc_id, n_shingles, root, component of each document (rid, doc_id, text): root is the same in a group, and null for texts without words."""
     sketches = scratch.table(sketch(docs, k, bands * rows), "sketches")
     roots = scratch.table(link_classes(docs, sketches, scratch, k, threshold, bands, rows), "roots")
-    narrow = sketches.select("doc_id", "n_shingles", "key")
+    narrow = sketches.select("rid", "doc_id", "n_shingles", "key")
     # The least doc_id by class, then by component, then back: groups of copies only meet in partial aggregates.
     classes = narrow.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low")).join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low")
     classes = scratch.table(classes, "class-roots")
     least = classes.groupBy("root").agg(F.min("low").alias("component"))
-    names = scratch.table(classes.join(least, "root").select("key", "component"), "names")
-    out = narrow.join(names, "key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    names = scratch.table(classes.join(least, "root").select("key", "root", "component"), "names")
+    return narrow.join(names, "key", "left").drop("key")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document (doc_id, text)."""
+    spark = prepare(docs.sparkSession)
+    docs = docs.select(F.lit(None).cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = labelled(docs, Scratch(spark), k, threshold, bands, rows).withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """One document of each group, that of least doc_id, with all its columns. Texts without words all stay."""
+    spark = prepare(docs.sparkSession)
+    scratch, names = Scratch(spark), [f"c{i}" for i in range(len(docs.columns))]
+    stored = scratch.table(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "dedup-input", "zstd")
+    doc_id, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    groups = scratch.table(labelled(stored.select("rid", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, k, threshold), "groups")
+    first = groups.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid")).select("rid")
+    kept = scratch.table(first.unionByName(groups.where("root is null").select("rid")), "kept")
+    return stored.join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), k=2)
