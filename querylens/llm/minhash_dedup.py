@@ -7,7 +7,8 @@
    most buckets (a base text and its edited copies meet there), and with the bucket's least key.
 3. A comparison is a signature estimate first, and then the full sets of both texts: 100 * common >= threshold * union.
 4. Large-star and small-star give components. Buckets with more than one component left are compared pair by pair,
-   across components only, in blocks of bounded size by signature and then on full sets. So every pair of classes that
+   across components only (the largest with the others, and the others among themselves), in blocks of bounded size,
+   by signature and then on full sets. So every pair of classes that
    shares a bucket is either in one component by confirmed links or has been compared: nothing is capped.
 
 A pair of similarity 0.8 misses all 40 bands of 6 with probability 5e-6, and fails the estimate (which must be under
@@ -213,9 +214,18 @@ def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int,
 
     # What a bucket still holds of different components, pair by pair.
     labelled = shared.select("key", "bucket").join(roots, F.col("key") == F.col("node"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-    rest = labelled.join(mixed, "bucket").join(classes.select("key", "sig"), "key")
-    rest = blocks.block_pairs(rest, "key", "size").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    # A bucket's largest component meets the others only: its rows go to one block each, theirs to every block of it.
+    held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    most = most.select("bucket", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / blocks.BLOCK).cast("int").alias("main_blocks"), (F.col("all") - F.col("most.n")).alias("size"))
+    rest = scratch.table(labelled.join(most, "bucket").withColumn("is_main", F.col("root") == F.col("main")), "mixed")
+    main = rest.where("is_main").withColumn("bj", F.pmod(F.xxhash64(F.lit(11), "key"), "main_blocks").cast("int")).withColumn("blk", F.lit(0))
+    others = rest.where("not is_main")
+    facing = others.withColumn("bj", F.explode(F.expr("sequence(0, main_blocks - 1)"))).withColumn("blk", F.lit(1))
+    among = blocks.block_pairs(others.where("size > 1"), "key", "size")
+    columns = ["key", "root", "bucket", "blk", "bi", "bj"]
+    rest = main.unionByName(facing).withColumn("bi", F.lit(-1)).select(columns).unionByName(among.select(columns))
+    rest = rest.join(classes.select("key", "sig"), "key").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     low = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / count) ** 0.5
 
     def across(batches):
