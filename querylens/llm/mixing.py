@@ -101,7 +101,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     kept = scratch.table(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-input", "zstd")
     sizes = scratch.table(sized(kept.select(F.col("__rid").alias("rid"), "doc_id", "source", "text")).drop("text"), "mix-sizes")
-    times = taken(*schedule(sizes, scratch)).select(F.col("rid").alias("__rid"), F.expr("cast(round(taken / size) as int)").alias("__times")).where("__times > 0")
+    times = taken(*schedule(sizes, scratch)).select(F.col("rid").alias("__rid"), F.expr("if(size = 0, 0, cast(round(taken / size) as int))").alias("__times")).where("__times > 0")
     return kept.join(times, "__rid").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
 
 
