@@ -195,7 +195,7 @@ def restore_payloads(recipe_rows: DataFrame, chunk_store: DataFrame) -> DataFram
     """(recipe, payload binary) of each distinct recipe: the verified media themselves."""
     listed = recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests")).select("recipe", F.posexplode("digests").alias("seq", "digest"))
 
-    def join(key, t: pa.Table) -> pa.Table:
+    def join(key, t):
         import zstandard
 
         t = t.sort_by("seq")
