@@ -21,6 +21,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import mixing
+    from . import mixing, sql
 
-    return {"op5_mixing": mixing.OP5_SQL}
+    return {"op4_embedding_dedup": sql.OP4, "op5_mixing": mixing.OP5_SQL, "op7_chat_format": sql.OP7, "op10_minhash_dedup": sql.OP10}
