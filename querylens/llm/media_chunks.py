@@ -10,7 +10,9 @@ packed by zstd, under its SHA-256; a recipe lists a payload's chunk digests and
 3. Distinct recipes, exploded, are joined to the store on the digest; the store's buckets spare it a shuffle. Chunks meet again by
    recipe, in order, are unpacked, checked against their digests and hashed as one payload. Features join back to documents by recipe.
 
-Chunk bytes are shuffled twice, packed; a hot chunk or text is one row after the first task-side step. The shuffle files of step 2
+   A payload of one chunk needs no meeting.
+
+Chunk bytes are shuffled twice at most, packed; a hot chunk or text is one row after the first task-side step. The shuffle files of step 2
 are freed before step 3.
 
 Defined results: null text is empty; an empty text is 64 zero bytes; equal texts have equal values; a null doc_id and repeated rows
@@ -141,10 +143,13 @@ def store(docs: DataFrame, path: str, existing: DataFrame | None = None) -> Data
 
 def restored(recipe_rows: DataFrame, chunk_store: DataFrame) -> DataFrame:
     """Payload facts of each distinct recipe, from the stored chunks: (recipe, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
-    listed = recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests")).select("recipe", F.posexplode("digests").alias("seq", "digest"))
-    parts = listed.join(chunk_store, "digest").select("recipe", "seq", "digest", "packed")
+    listed = recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests"))
     n = int(chunk_store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def parts(where: str) -> DataFrame:
+        rows = listed.where(where).select("recipe", F.posexplode("digests").alias("seq", "digest"))
+        return rows.join(chunk_store, "digest").select("recipe", "seq", "digest", "packed")
+
     def run(batches):
         import zstandard
 
@@ -183,7 +188,10 @@ def restored(recipe_rows: DataFrame, chunk_store: DataFrame) -> DataFrame:
             done(own)
         yield _facts(out)
 
-    return parts.repartition(n, "recipe").sortWithinPartitions("recipe", "seq").mapInArrow(run, "recipe binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    facts = "recipe binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    # A payload of one chunk is restored where its chunk lies; only longer ones bring chunks together.
+    whole = parts("size(digests) = 1").mapInArrow(run, facts)
+    return whole.unionByName(parts("size(digests) > 1").repartition(n, "recipe").sortWithinPartitions("recipe", "seq").mapInArrow(run, facts))
 
 
 def _facts(rows: list[tuple]) -> pa.RecordBatch:
