@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Members of a block; pairs held at once.
-BLOCK, PAIRS = 256, 1 << 19
+#: Members of a block; pairs held at once; about so many bytes of rows at once.
+BLOCK, PAIRS, BYTES = 256, 1 << 19, 64 << 20
 
 
 def block_pairs(df: DataFrame, member: str, size: str, block: int = BLOCK) -> DataFrame:
@@ -27,7 +27,7 @@ def block_pairs(df: DataFrame, member: str, size: str, block: int = BLOCK) -> Da
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches sorted by keys, cut anew so that no group is split: tables, and where groups begin (with the end)."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
 
     def edges(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -43,7 +43,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        size += batch.nbytes
+        if count < rows and size < BYTES:
             continue
         t = pa.Table.from_batches(held)
         at = edges(t)
@@ -51,6 +52,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
             yield t.slice(0, at[-2]), at[:-1]
             held = t.slice(at[-2]).to_batches()
             count = t.num_rows - at[-2]
+            size = t.slice(at[-2]).nbytes
     if held:
         t = pa.Table.from_batches(held)
         yield t, edges(t)

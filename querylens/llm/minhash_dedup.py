@@ -7,8 +7,8 @@
    most buckets (a base text and its edited copies meet there), and with the bucket's least key.
 3. A comparison is a signature estimate first, and then the full sets of both texts: 100 * common >= threshold * union.
 4. Large-star and small-star give components. Buckets with more than one component left are compared across components
-   only (the largest with the others, and the others among themselves), in blocks of bounded size, by signature and then on
-   full sets: twice the likeliest pair of a class and another component, as one link joins them, then every pair still apart. So every pair of classes that
+   only (the largest with the others, and the others among themselves), in blocks of bounded size that hold the texts:
+   by signature and then on full sets, in the first bucket that the two share, until the two components are joined. So every pair of classes that
    shares a bucket is either in one component by confirmed links or has been compared: nothing is capped.
 
 A pair of similarity 0.8 misses all 40 bands of 6 with probability 5e-6, and fails the estimate (which must be under
@@ -212,46 +212,40 @@ def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int,
     roots = scratch.table(components(links, scratch, "first"), "first-roots")
     free_shuffles(spark)
 
-    # What a bucket still holds of different components. First only the likeliest pair of a class and another component, as one link
-    # joins them; then, of what is still apart, every pair.
-    compared = scratch.table(stars, "compared").select(F.greatest("centre", "member").alias("centre"), F.least("centre", "member").alias("member"))
-    for step, best in enumerate((True, True, False)):
-        pairs = _apart(shared, classes, roots, scratch, threshold, count, best, step)
-        pairs = scratch.table(pairs.join(compared, ["centre", "member"], "left_anti"), f"apart-{step}")
-        if pairs.isEmpty():
-            continue
-        more = scratch.table(_verify(pairs, content, k, threshold, count, scratch, f"apart-{step}"), f"more-{step}")
-        compared = compared.unionByName(pairs)
-        if not more.isEmpty():
-            roots = scratch.table(components(roots.toDF("a", "b").unionByName(more), scratch, f"step-{step}"), f"roots-{step}")
-        free_shuffles(spark)
+    # What a bucket still holds of different components: every pair of them, confirmed where the two lie.
+    more = scratch.table(_apart(shared, content, roots, scratch, k, threshold, bands, rows), "apart-links")
     scratch.drop("shared", "content")
-    return roots
+    free_shuffles(spark)
+    if more.isEmpty():
+        return roots
+    return components(roots.toDF("a", "b").unionByName(more), scratch, "second")
 
 
-def _apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratch, threshold: int, count: int, best: bool, step: int) -> DataFrame:
-    """(centre, member) that share a bucket, are in different components and may be similar, by signature; best: the likeliest of a class and another component in a bucket."""
+def _apart(shared: DataFrame, content: DataFrame, roots: DataFrame, scratch: Scratch, k: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    """Confirmed links (a, b) between classes that share a bucket and are in different components."""
+    count = bands * rows
     labelled = shared.select("key", "bucket").join(roots, F.col("key") == F.col("node"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
     # A bucket's largest component meets the others only: its rows go to one block each, theirs to every block of it.
     held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     most = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     most = most.select("bucket", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / blocks.BLOCK).cast("int").alias("main_blocks"), (F.col("all") - F.col("most.n")).alias("size"))
-    rest = scratch.table(labelled.join(most, "bucket").withColumn("is_main", F.col("root") == F.col("main")), f"mixed-{step}")
+    rest = scratch.table(labelled.join(most, "bucket").withColumn("is_main", F.col("root") == F.col("main")), "mixed")
     main = rest.where("is_main").withColumn("bj", F.pmod(F.xxhash64(F.lit(11), "key"), "main_blocks").cast("int")).withColumn("blk", F.lit(0))
     others = rest.where("not is_main")
     facing = others.withColumn("bj", F.explode(F.expr("sequence(0, main_blocks - 1)"))).withColumn("blk", F.lit(1))
     among = blocks.block_pairs(others.where("size > 1"), "key", "size")
     columns = ["key", "root", "bucket", "blk", "bi", "bj"]
     rest = main.unionByName(facing).withColumn("bi", F.lit(-1)).select(columns).unionByName(among.select(columns))
-    rest = rest.join(classes.select("key", "sig"), "key").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    rest = rest.join(content, "key").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     low = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / count) ** 0.5
 
     def across(batches):
         for t, at in blocks.whole_groups(batches, ["bucket", "bi", "bj"]):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, count)
             root = pd.factorize(t.column("root").to_pandas())[0]
-            blk, bi, bj = (t.column(c).to_numpy() for c in ("blk", "bi", "bj"))
-            keys = t.column("key").to_pylist()
+            blk, bi, bj, bucket = (t.column(c).to_numpy() for c in ("blk", "bi", "bj", "bucket"))
+            keys, buckets = t.column("key").to_pylist(), band_hashes(sig, bands, rows)
+            h, s = shingle_sets(*bytes_of(t.column("text")), k)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for x, y in blocks.pairs(at, blk, bi, bj):
                 far = root[x] != root[y]
@@ -261,20 +255,31 @@ def _apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scr
                     same = (sig[p] == sig[q]).mean(1)
                     near = same >= low
                     p, q, same = p[near], q[near], same[near]
-                    turn = (bi[p] == -1) & (blk[p] == 0)  # the first is never of the main component
-                    found.append((np.where(turn, q, p), np.where(turn, p, q), same))
-            p, q, same = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
-            p, q = p.astype(np.int64), q.astype(np.int64)
-            if best and len(p):
-                order = np.lexsort((-same, root[q], p))
-                p, q = p[order], q[order]
-                keep = np.ones(len(p), bool)
-                keep[1:] = (p[1:] != p[:-1]) | (root[q[1:]] != root[q[:-1]])
-                p, q = p[keep], q[keep]
-            ends = [(keys[i], keys[j]) for i, j in zip(p.tolist(), q.tolist())]
-            yield pa.record_batch([pa.array([max(e) for e in ends], pa.binary()), pa.array([min(e) for e in ends], pa.binary())], names=["centre", "member"])
-
-    return rest.mapInArrow(across, "centre binary, member binary").distinct()
+                    # In the first of the buckets that the two share only.
+                    first = buckets[p, (buckets[p] == buckets[q]).argmax(1)] == bucket[p]
+                    found.append((p[first], q[first], same[first]))
+            p, q, same = (np.concatenate([f[i] for f in found] or [np.zeros(0)]) for i in range(3))
+            ends, parent = [], np.arange(int(root.max(initial=0)) + 1)
+
+            def find(i):
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            # The likeliest first: components that have been joined need no other link.
+            for i in np.argsort(-same, kind="stable").tolist():
+                x, y = int(p[i]), int(q[i])
+                a, b = find(root[x]), find(root[y])
+                if a == b:
+                    continue
+                u, v = h[s[x] : s[x + 1]], h[s[y] : s[y + 1]]
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * common >= threshold * (len(u) + len(v) - common):
+                    parent[a] = b
+                    ends.append((keys[x], keys[y]))
+            yield pa.record_batch([pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], names=["a", "b"])
+
+    return rest.mapInArrow(across, "a binary, b binary")
 
 
 def labelled(docs: DataFrame, scratch: Scratch, k: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
