@@ -7,7 +7,7 @@ expression. A rule without a mandatory trigram, such as `[0-9a-f]+`, scans every
 memory, and no text leaves its task.
 
 The base kinds are assign, access and hex as the contract fixes them: matches are leftmost and don't overlap within a kind, and those that
-fail the kind's length test are dropped after matching. MORE adds private keys and tokens of known forms.
+fail the kind's length test are dropped after matching. MORE adds private keys, whole from BEGIN to END, and tokens of known forms.
 
 Defined results: null text is empty; spans are code points, end exclusive, and may overlap across kinds; equal starts go by kind, as
 listed; a null doc_id and repeated rows are documents like others; extra columns are ignored; an empty table gives no rows.
@@ -44,8 +44,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", re.ASCII, lambda m: m.end() - m.start() >= 18),
     Rule("hex", r"[0-9a-f]+", re.ASCII, lambda m: m.end() - m.start() >= 16),
 )
+#: A private key runs from its BEGIN line to the next END line, if no other BEGIN comes first.
+_TO_END = r"(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END\x20[^-\r\n]{0,60}-----"
+#: Else to the end of its base64: header fields, then words of 16 and more after any blanks, line ends (also written \n) or quotes, or lines of base64 only;
+#: behind a long word one short word on the same line, which closes a key whose line ends became blanks; and the rest of a cut END line.
+_LINE = r"""[\x20\t"',;]*(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t"'>#*|]*"""
+_TO_LAST = (
+    rf"(?:{_LINE}(?:[A-Z][A-Za-z]*-[A-Za-z-]+|Comment|Version):[^\r\n\\]*)*+"
+    rf"""(?:(?:[\s"',;>#*|]|\\[nrt])*+[A-Za-z0-9+/]{{16,}}+|{_LINE}[A-Za-z0-9+/]++(?=={{0,2}}(?:["']|[\x20\t,;]*(?:[\r\n]|\\[nr]|\Z))))*+"""
+    r"""(?:(?<=[A-Za-z0-9+/]{16})[\x20\t]+[A-Za-z0-9+/]++)?={0,2}(?:(?:\s|\\[nr])*-----END[A-Z\x20]*-{0,5})?"""
+)
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_TO_END}|{_TO_LAST})"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
