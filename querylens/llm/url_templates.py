@@ -2,11 +2,11 @@
 
 Rules. A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest rule wins.
 
-Templates, per host, level by level for the first LEVELS path segments (a mark stands for a deeper rest):
+Templates, per host, level by level until no path is deeper. The shape of the tree turns on distinct paths, however often each is seen:
 1. A segment that varies becomes a wildcard: one that holds a digit, or one of a parent with at least MANY distinct segments
-   seen MOST_OFTEN times or fewer each on average.
+   with MOST_OFTEN paths or fewer each on average.
 2. The branches of a parent that stay are compared with all its branches together: by the Jensen-Shannon divergence between what comes next below a
-   branch (kind of the next segment, and label) and below all. Branches under ALIKE, with SEEN urls or more, merge into one, written `(*)`. Comparing with the
+   branch (kind of the next segment, and label; the pages of a path share its weight of 1) and below all. Branches under ALIKE, with SEEN paths or more, merge into one, written `(*)`. Comparing with the
    whole, not with each other, is linear in the branches.
 3. Labels are the rules' own verdicts, or any (page_id, bad) table. A template's purity is (bad + STRENGTH * prior) / (labelled + STRENGTH); the prior is its
    host's smoothed share, whose own prior is that of all urls. A template with labelled urls, whose purity is REJECT or more, rejects.
@@ -20,6 +20,7 @@ be null or repeat; html and extra columns are never read; an empty table gives n
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,7 @@ class UrlRule:
 
 
 RULES = (UrlRule("block", "com/en/"), UrlRule("allow", "example.com/en/7"), UrlRule("allow", "net/de/"), UrlRule("block", "example.net/de/8"), UrlRule("block", "org/es/"))
-LEVELS, MANY, MOST_OFTEN, ALIKE, SEEN, STRENGTH, REJECT = 6, 20, 2.0, 0.05, 8, 4.0, 0.8
+MANY, MOST_OFTEN, ALIKE, SEEN, STRENGTH, REJECT = 20, 2.0, 0.05, 8, 4.0, 0.8
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -79,15 +80,15 @@ def templates(urls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     paths = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     paths = paths.withColumn("parts", F.expr("if(path = '', array(), split(substr(path, 2), '/'))"))
     paths = scratch.table(paths.withColumn("template", F.lit("")), "paths-0")
-    for level in range(LEVELS):
+    for level in itertools.count():
         here, below = F.get("parts", F.lit(level)), F.get("parts", F.lit(level + 1))
         at = paths.where(F.size("parts") > level).withColumn("segment", here).withColumn("kind", _kind(here)).withColumn("next", _kind(below))
         # Distinct segments of a parent, two aggregates: by segment, then by parent.
-        seen = at.where("kind = 'word'").groupBy("host", "template", "segment").agg(F.sum("n").alias("urls"))
-        parents = seen.groupBy("host", "template").agg(F.count(F.lit(1)).alias("segments"), F.sum("urls").alias("urls")).withColumn("varies", (F.col("segments") >= MANY) & (F.col("urls") <= F.col("segments") * MOST_OFTEN)).select("host", "template", "varies")
+        seen = at.where("kind = 'word'").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("paths"))
+        parents = seen.groupBy("host", "template").agg(F.count(F.lit(1)).alias("segments"), F.sum("paths").alias("paths")).withColumn("varies", (F.col("segments") >= MANY) & (F.col("paths") <= F.col("segments") * MOST_OFTEN)).select("host", "template", "varies")
         # What comes next below each branch that stays, and below all branches of its parent.
         stays = at.where("kind = 'word'").join(parents, ["host", "template"]).where("not varies")
-        label = F.expr("explode(array(struct('bad' as label, bad as c), struct('good' as label, labelled - bad as c), struct('none' as label, n - labelled as c)))")
+        label = F.expr("explode(array(struct('bad' as label, bad / n as c), struct('good' as label, (labelled - bad) / n as c), struct('none' as label, (n - labelled) / n as c)))")
         cells = stays.select("host", "template", "segment", "next", label.alias("x")).groupBy("host", "template", "segment", "next", F.col("x.label").alias("label")).agg(F.sum("x.c").alias("c")).where("c > 0")
         cells = scratch.table(cells, f"cells-{level}")
         branch = cells.groupBy("host", "template", "segment").agg(F.sum("c").alias("branch"))
@@ -98,7 +99,8 @@ def templates(urls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         # 2 JS = sum over cells of the branch of [p log(p/m) + q log(q/m)], and q log 2 for cells that only the whole has.
         js = cells.join(branch, ["host", "template", "segment"]).join(whole, ["host", "template", "next", "label"]).join(total, ["host", "template"])
         js = js.groupBy("host", "template", "segment").agg((0.5 * (F.sum(p * F.log2(p / m) + q * F.log2(q / m)) + 1 - F.least(F.lit(1.0), F.sum(q)))).alias("divergence"), F.first("branch").alias("branch"))
-        alike = js.where((F.col("divergence") <= ALIKE) & (F.col("branch") >= SEEN)).select("host", "template", "segment", F.lit("(*)").alias("merged"))
+        # A branch is a sum of shares, and SEEN of them may come a little under SEEN.
+        alike = js.where((F.col("divergence") <= ALIKE) & (F.col("branch") > SEEN - 0.5)).select("host", "template", "segment", F.lit("(*)").alias("merged"))
         # Only parents where two branches or more are alike have a merged branch.
         several = alike.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
         alike = alike.join(several, ["host", "template"])
@@ -110,7 +112,6 @@ def templates(urls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         scratch.drop(f"paths-{level}", f"cells-{level}")
         if paths.where(F.size("parts") > level + 1).isEmpty():
             break
-    paths = paths.withColumn("template", F.when(F.size("parts") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     counts = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
     counts = scratch.table(counts, "template-counts")
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))

@@ -97,6 +97,21 @@ def test_templates_learn_from_labels(spark):
     assert all(r.verdict == ("block" if r.page_id % 4 == 0 else "allow") for r in got)
 
 
+def test_templates_do_not_turn_on_repetition(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    once = [f"http://news.io/story/{word(i)}" for i in range(60)] + [f"http://news.io/{word(b)}/page/{i}" for b in range(3) for i in range(5)] + [f"http://deep.io/a/b/c/d/e/f/{'good' if i % 2 else 'bad'}/x/{i}" for i in range(60)]
+    made = {}
+    for times in (1, 3):
+        urls = [f"{u}?session={t}" for u in once for t in range(times)]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        labels = spark.createDataFrame([(i, "/bad/" in u) for i, u in enumerate(urls) if "deep.io" in u], "page_id long, bad boolean")
+        got = url_templates.filter_urls(df, (), labels).collect()
+        made[times] = {(r.host, r.path): (r.template, r.verdict) for r in got}
+    assert made[1] == made[3]
+    assert {t for (h, p), (t, _) in made[3].items() if p.startswith("/story/")} == {"/story/*"}
+    assert all((v == "block") == ("/bad/" in p) and t == f"/a/b/c/d/e/f/{p.split('/')[7]}/x/*" for (h, p), (t, v) in made[3].items() if h == "deep.io")
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "<|im_start|> and <\\|x and < | <|"), (2, 1, "assistant", "second"), (2, 0, "user", None), (3, 0, None, "no role"), (3, 0, "assistant", ""), (None, 5, "user", "lost"), (None, 6, "assistant", "kept"),
     (4, None, "user", "early"), (4, 0, "a\nb\\n<|", "odd role"), (5, 0, "assistant", "été \U0001f600"), (5, 0, "assistant", "été \U0001f600"), (6, 0, "user", "<" + "\\" * 5 + "|"), (7, 0, "user", "x" * 100_000),
