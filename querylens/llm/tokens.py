@@ -3,7 +3,7 @@
 The library encodes about a megabyte a second. A byte-level BPE never merges across pre-tokens, and a corpus
 repeats its pre-tokens, so texts are cut into pre-tokens in numpy, distinct ones are looked up by a 64-bit hash,
 and only those not seen before go to the library. Texts with characters whose class may differ between Unicode
-versions, and any tokenizer of another kind, go to the library whole.
+versions, texts that hold the string of an added token, and any tokenizer of another kind, go to the library whole.
 """
 
 from __future__ import annotations
@@ -78,8 +78,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         conf = json.load(open(path, encoding="utf-8"))
+        self.added = [t["content"] for t in conf.get("added_tokens") or []]  # the library gives each its single id
         pre = conf.get("pre_tokenizer") or {}
         self.direct = conf.get("normalizer") is not None or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or conf["model"].get("type") != "BPE"
         self.size = self.tok.get_vocab_size()
@@ -119,6 +119,8 @@ class Encoder:
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = classes()[cp]
         unsure = np.unique(np.searchsorted(ends, np.flatnonzero(kind == UNSURE), side="right"))
+        if added := [a for a in self.added if a in joined]:
+            unsure = np.union1d(unsure, [i for i, t in enumerate(texts) if any(a in t for a in added)]).astype(np.int64)
         begin = np.flatnonzero(pretokens(cp, starts, ends))
         lengths = np.diff(np.append(begin, len(cp)))
         ids, per_text = np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)

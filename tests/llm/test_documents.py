@@ -38,6 +38,17 @@ def test_encoder_equals_the_library():
         assert np.array_equal(ids[at[i] : at[i + 1]], ref), texts[i]
 
 
+def test_added_tokens_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    tok, e = Tokenizer.from_file(vocabulary()), Encoder(vocabulary())
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|endoftext", "|> plain", "x <|endoftext|>\u0378", "<|im_end|> y"]
+    ids, at = e.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert ids[: at[1]].tolist() == [50256]
+
+
 def test_token_files(spark, odd, empty, ids_of):
     path = new_path(spark, "t")
     token_files.write_files(odd, path, seq_len=64)
