@@ -29,6 +29,8 @@ from .common import WORD, Scratch, load, prepare
 WEIGHTS, SHARE, MOST, SEED, BLOCK = (5, 2, 1), 1.5, 2, 7, 1024
 #: Hex digits of the shuffle key that make a bucket; chunks of the schedule in which slots are ranked.
 DIGITS, CHUNKS = 3, 2048
+#: What WORD doesn't match.
+BLANKS = r"[\x20\x09-\x0D]*"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -96,13 +98,19 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Documents in the mix, with their own columns: a row for each time that most of a document is taken."""
+    """Documents in the mix, with their own columns: a row for each time that a document is taken, to the word. The quota of a source ends in one
+    document at most, of which the first words are taken; its text is cut behind them, and n_chars is of the cut text."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark)
     kept = scratch.table(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-input", "zstd")
     sizes = scratch.table(sized(kept.select(F.col("__rid").alias("rid"), "doc_id", "source", "text")).drop("text"), "mix-sizes")
-    times = taken(*schedule(sizes, scratch)).select(F.col("rid").alias("__rid"), F.expr("if(size = 0, 0, cast(round(taken / size) as int))").alias("__times")).where("__times > 0")
-    return kept.join(times, "__rid").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
+    words = taken(*schedule(sizes, scratch)).where("taken > 0").select(F.col("rid").alias("__rid"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    rows = kept.join(words, "__rid").withColumn("__words", F.explode(F.expr("transform(sequence(0L, (__taken - 1) div __size), i -> least(__size, __taken - i * __size))")))
+    part, first = F.col("__words") < F.col("__size"), F.slice(F.regexp_extract_all("text", F.lit(BLANKS + WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int"))
+    rows = rows.withColumn("text", F.when(part, F.array_join(first, "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

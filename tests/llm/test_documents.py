@@ -180,6 +180,22 @@ def test_mix_documents(odd, empty):
     assert out.columns == odd.columns and out.count() > 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mix_documents_takes_words(spark):
+    """Each source is in the mix to the word, a source of one long document too."""
+    made = lambda n, w: " " + "\t\n".join(f"{w}{i}" for i in range(n)) + " "
+    rows = [(i, made(60, "a"), "a", 1) for i in range(100)] + [(200 + i, made(50, "b"), "b", 1) for i in range(40)] + [(300, made(4500, "c"), "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    sizes = mixing.sized(docs.withColumn("rid", F.col("doc_id"))).select("rid", "doc_id", "source", "size")
+    quota = {r.source: r.quota for r in mixing.schedule(sizes, Scratch(spark))[0].select("source", "quota").distinct().collect()}
+    out = mixing.mix_documents(docs).collect()
+    got = Counter()
+    for r in out:
+        got[r.source] += len(re.findall(BLANK, r.text))
+    assert dict(got) == quota and 0 < quota["c"] < 4500
+    (cut,) = [r for r in out if r.source == "c"]
+    assert rows[-1][1].startswith(cut.text) and cut.text.endswith(f"c{quota['c'] - 1}") and cut.n_chars == len(cut.text)
+
+
 def base_spans(text):
     rules = (
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
