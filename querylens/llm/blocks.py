@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members of a block; pairs held at once; about so many bytes of rows at once.
-BLOCK, PAIRS, BYTES = 256, 1 << 19, 64 << 20
+BLOCK, PAIRS, BYTES = 256, 1 << 18, 6 << 20
 
 
 def block_pairs(df: DataFrame, member: str, size: str, block: int = BLOCK) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python sees at most this many rows, and about this many bytes, of a table at once.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Python sees at most this many rows, and about this many bytes, of a table at once; and works on about so many bytes of text at once.
+BATCH_ROWS, BATCH_BYTES, RUN_BYTES = 1024, 4 << 20, 1 << 20
 #: `[^\x20\x09-\x0D]+`: a word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,9 +37,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and driver and executors are one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="querylens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -139,32 +143,63 @@ def mix64(x):
     return x ^ (x >> np.uint64(33))
 
 
+def row_runs(at, most: int = RUN_BYTES):
+    """Of n + 1 offsets: (i, j) of consecutive rows that hold about `most` together, one row at least."""
+    import numpy as np
+
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(int(np.searchsorted(at, at[i] + most, side="right")) - 1, i + 1)
+        yield i, j
+        i = j
+
+
+@functools.cache
+def _powers(n: int):
+    import numpy as np
+
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([one, np.full(n, b, np.uint64)])) for b in (RunHasher.BASE, pow(RunHasher.BASE, -1, 1 << 64)))
+
+
 class RunHasher:
-    """64-bit hashes of runs of a sequence, all at once, from prefix sums of a polynomial with an odd base (mod 2^64)."""
+    """64-bit hashes of runs of a sequence, many at once, from prefix sums of a polynomial with an odd base (mod 2^64).
 
-    BASE = 0x9E3779B97F4A7C15
+    The sums begin anew every WINDOW values, so memory doesn't grow with the sequence; a longer run is summed window by window.
+    """
 
-    def __init__(self):
-        import numpy as np
+    BASE, WINDOW = 0x9E3779B97F4A7C15, 1 << 16
 
-        self.n, self.power, self.inverse = 0, np.ones(1, np.uint64), np.ones(1, np.uint64)
+    def __call__(self, values, starts, lengths, spread=None):
+        """Equal runs get equal hashes wherever they stand; the length is hashed too. Neither starts nor ends may descend.
 
-    def _grow(self, n: int) -> None:
+        spread: a table by value (of bytes) instead of mix64(value + 1).
+        """
         import numpy as np
 
-        if n > self.n:
-            self.n = n = max(n, 1 << 16)
-            self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, self.BASE, np.uint64)]))
-            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)]))
+        power, inverse = _powers(self.WINDOW)
+        starts, ends = np.asarray(starts, np.int64), np.asarray(starts, np.int64) + np.asarray(lengths, np.int64)
+        h, i = np.zeros(len(starts), np.uint64), 0
 
-    def __call__(self, values, starts, lengths):
-        """Equal runs get equal hashes wherever they stand; the length is hashed too."""
-        import numpy as np
+        def terms(a, b):
+            # Each value is spread first: the low bits of a plain polynomial would mix badly.
+            x = values[a:b]
+            x = mix64(x.astype(np.uint64) + np.uint64(1)) if spread is None else spread[x]
+            x *= power[: b - a]
+            return x
 
-        self._grow(len(values))
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(values) + 1, np.uint64)
-            # Each value is spread first: the low bits of a plain polynomial would mix badly.
-            np.cumsum(mix64(values.astype(np.uint64) + np.uint64(1)) * self.power[: len(values)], out=sums[1:])
-            h = (sums[starts + lengths] - sums[starts]) * self.inverse[starts]
-            return mix64(h ^ (np.asarray(lengths).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            while i < len(starts):
+                a = int(starts[i])
+                j = int(np.searchsorted(ends, a + self.WINDOW, side="right"))
+                if j <= i:
+                    h[i] = sum(int(terms(b, min(b + self.WINDOW, int(ends[i]))).sum()) * pow(self.BASE, b - a, 1 << 64) for b in range(a, int(ends[i]), self.WINDOW)) % (1 << 64)
+                    i += 1
+                    continue
+                b = int(ends[j - 1])
+                sums = np.zeros(b - a + 1, np.uint64)
+                np.cumsum(terms(a, b), out=sums[1:])
+                first = starts[i:j] - a
+                h[i:j] = (sums[ends[i:j] - a] - sums[first]) * inverse[first]
+                i = j
+            return mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -7,9 +7,9 @@
    most buckets (a base text and its edited copies meet there), and with the bucket's least key.
 3. A comparison is a signature estimate first, and then the full sets of both texts: 100 * common >= threshold * union.
 4. Large-star and small-star give components. Buckets with more than one component left are compared across components
-   only (the largest with the others, and the others among themselves), in blocks of bounded size that hold the texts:
-   by signature and then on full sets, in the first bucket that the two share, until the two components are joined. So every pair of classes that
-   shares a bucket is either in one component by confirmed links or has been compared: nothing is capped.
+   only (the largest with the others, and the others among themselves), in pairs of blocks of bounded rows and bytes: by signature alone, and then, for the
+   classes that have a likely partner there, on full sets, in the first bucket that the two share, until the two components are joined. So every pair of
+   classes that shares a bucket is either in one component by confirmed links or has been compared: nothing is capped.
 
 A pair of similarity 0.8 misses all 40 bands of 6 with probability 5e-6, and fails the estimate (which must be under
 `threshold` by five standard deviations) about as rarely.
@@ -21,6 +21,8 @@ rows; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,54 +30,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import RunHasher, Scratch, bytes_of, free_shuffles, load, mix64, prepare, ranges
+from .common import RUN_BYTES, RunHasher, Scratch, bytes_of, free_shuffles, load, mix64, prepare, ranges, row_runs
 from .components import components
 
 BANDS, ROWS, SEED = 40, 6, 20_11
 #: Shingles are hashed in runs of about this many, which stay in a core's cache.
 RUN = 1 << 15
-#: Edges of a centre that are confirmed in one group.
-STAR = 128
+#: Edges of a centre that are confirmed in one group; bytes of text in a block.
+STAR, BLOCK_BYTES = 128, 2 << 20
 
 _hasher = RunHasher()
 
 
+@functools.cache
+def _lower_spread() -> np.ndarray:
+    """Of each byte, its share in a hash, A-Z as a-z."""
+    x = np.arange(256, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return mix64(x + np.where((x >= 65) & (x <= 90), np.uint64(32), np.uint64(0)) + np.uint64(1))
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of several texts (A-Z in lower case), and n + 1 offsets."""
-    upper = (data >= 65) & (data <= 90)
-    data = np.where(upper, data + np.uint8(32), data)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    before = np.ones(len(data), bool)
-    before[1:] = blank[:-1]
-    after = np.ones(len(data), bool)
-    after[:-1] = blank[1:]
-    starts = np.flatnonzero(~blank & (before | edge[:-1]))
-    ends = np.flatnonzero(~blank & (after | edge[1:])) + 1
-    return _hasher(data, starts, ends - starts), np.searchsorted(starts, at)
+    starts, ends = [], []
+    for a in range(0, len(data), RUN_BYTES):
+        b = min(a + RUN_BYTES, len(data))
+        # One more byte on either side, blank beyond the ends.
+        part = np.full(b - a + 2, 32, np.uint8)
+        part[1:-1] = data[a:b]
+        part[0], part[-1] = data[a - 1] if a else 32, data[b] if b < len(data) else 32
+        word = (part != 32) & ((part < 9) | (part > 13))
+        edge = np.zeros(b - a + 1, bool)
+        edge[at[np.searchsorted(at, a) : np.searchsorted(at, b, side="right")] - a] = True
+        starts.append(np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1])) + a)
+        ends.append(np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + a + 1)
+    starts, ends = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (starts, ends))
+    return _hasher(data, starts, ends - starts, _lower_spread()), np.searchsorted(starts, at)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct 64-bit hashes of the k-word shingles of each text, one text after the other, and n + 1 offsets."""
     words, w = word_hashes(data, at)
     n = np.diff(w)
-    size = np.minimum(n, k)  # of a shingle of this text
     count = np.where(n == 0, 0, np.maximum(n - k, 0) + 1)
-    first = ranges(w[:-1], count)
-    doc = np.repeat(np.arange(len(n)), count)
+    to = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(to[-1], np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(first), np.uint64)
-        for j in range(k):
-            inside = j < size[doc]
-            x = words[np.minimum(first + j, max(len(words) - 1, 0))] if len(words) else h
-            h = np.where(inside, mix64(h * np.uint64(0x9E3779B97F4A7C15) + x + np.uint64(j + 1)), h)
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(doc[order].astype(np.uint16 if len(n) < 65536 else np.int64), kind="stable")]
-    h, doc = h[order], doc[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[keep], np.searchsorted(doc[keep], np.arange(len(n) + 1))
+        h = np.zeros(len(words), np.uint64)
+        for j in range(min(k, int(n.max(initial=0)))):
+            # h[i] is the hash of words i to i + j.
+            h = mix64(h[: len(words) - j] * np.uint64(0x9E3779B97F4A7C15) + words[j:] + np.uint64(j + 1))
+            if j + 1 < k:
+                short = np.flatnonzero(n == j + 1)
+                out[to[short]] = h[w[short]]
+    full = np.flatnonzero(n >= k)
+    if len(full):
+        out[ranges(to[full], count[full])] = h[ranges(w[full], count[full])]
+    for a, b in zip(to[:-1].tolist(), to[1:].tolist()):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[to[:-1][count > 0]] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[to]
+
+
+def sets_of(column, k: int) -> list[np.ndarray]:
+    """The shingle set of each text of an Arrow column, made from about RUN_BYTES at once."""
+    data, at = bytes_of(column)
+    out: list[np.ndarray] = []
+    for i, j in row_runs(at):
+        h, s = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
+        out += [h[a:b] for a, b in zip(s[:-1].tolist(), s[1:].tolist())]
+    return out
 
 
 def set_keys(h: np.ndarray, at: np.ndarray) -> list[bytes | None]:
@@ -138,12 +164,11 @@ def _confirmed(star: DataFrame, k: int, threshold: int, count: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, at = bytes_of(batch.column("text"))
-            h, s = shingle_sets(data, at, k)
+            sets = sets_of(batch.column("text"), k)
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, count)
             a, b, found = batch.column("centre").to_pylist(), batch.column("member").to_pylist(), []
             for i, is_member in enumerate(batch.column("is_member").to_pylist()):
-                own = h[s[i] : s[i + 1]]
+                own = sets[i]
                 if not is_member:
                     centre, centre_set, centre_sig = a[i], own, sig[i]
                 elif a[i] == centre and (sig[i] == centre_sig).mean() >= low:
@@ -172,9 +197,10 @@ def sketch(docs: DataFrame, k: int, count: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, at = bytes_of(batch.column("text"))
-            h, s = shingle_sets(data, at, k)
-            sig = signatures(h, s, count)
-            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(s), pa.int64()), pa.array(set_keys(h, s), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["rid", "doc_id", "text_hash", "n_shingles", "key", "sig"])
+            for i, j in row_runs(at):
+                h, s = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
+                sig = signatures(h, s, count)
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in ("rid", "doc_id", "text_hash")), pa.array(np.diff(s), pa.int64()), pa.array(set_keys(h, s), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["rid", "doc_id", "text_hash", "n_shingles", "key", "sig"])
 
     return docs.select("rid", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "rid long, doc_id long, text_hash long, n_shingles long, key binary, sig binary")
 
@@ -213,52 +239,70 @@ def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int,
     free_shuffles(spark)
 
     # What a bucket still holds of different components: every pair of them, confirmed where the two lie.
-    more = scratch.table(_apart(shared, content, roots, scratch, k, threshold, bands, rows), "apart-links")
-    scratch.drop("shared", "content")
+    more = scratch.table(_apart(shared, classes, content, roots, scratch, k, threshold, bands, rows), "apart-links")
+    scratch.drop("shared", "content", "mixed", "likely")
     free_shuffles(spark)
     if more.isEmpty():
         return roots
     return components(roots.toDF("a", "b").unionByName(more), scratch, "second")
 
 
-def _apart(shared: DataFrame, content: DataFrame, roots: DataFrame, scratch: Scratch, k: int, threshold: int, bands: int, rows: int) -> DataFrame:
-    """Confirmed links (a, b) between classes that share a bucket and are in different components."""
+def _faced(rows: DataFrame) -> DataFrame:
+    """Send rows (bucket, key, root, is_main, bytes) to pairs of blocks: each block of a bucket's main component meets each block of the others
+    (bi < 0), and the others' blocks meet each other (0 <= bi <= bj). A block has about BLOCK rows and BLOCK_BYTES bytes at most."""
+    n = lambda side: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(side) / blocks.BLOCK, F.coalesce(F.sum(F.when(side, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES))).cast("int")
+    sizes = rows.groupBy("bucket").agg(n(F.col("is_main")).alias("mains"), n(~F.col("is_main")).alias("others"))
+    rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit(11), "key"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    facing = F.expr("if(is_main, transform(sequence(0, others - 1), o -> named_struct('blk', 0, 'bi', -1 - o, 'bj', own)), transform(sequence(0, mains - 1), m -> named_struct('blk', 1, 'bi', -1 - own, 'bj', m)))")
+    among = F.expr("if(is_main, array(), transform(sequence(0, others - 1), o -> named_struct('blk', own, 'bi', least(o, own), 'bj', greatest(o, own))))")
+    return rows.select("bucket", "key", "root", "is_main", F.explode(F.concat(facing, among)).alias("at")).select("bucket", "key", "root", "is_main", "at.blk", "at.bi", "at.bj")
+
+
+def _apart(shared: DataFrame, classes: DataFrame, content: DataFrame, roots: DataFrame, scratch: Scratch, k: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    """Confirmed links (a, b) between classes that share a bucket and are in different components.
+
+    Signatures come first: they tell which classes of a bucket have a likely partner in another component there. Only these bring their texts.
+    """
     count = bands * rows
+    low = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / count) ** 0.5
     labelled = shared.select("key", "bucket").join(roots, F.col("key") == F.col("node"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
-    # A bucket's largest component meets the others only: its rows go to one block each, theirs to every block of it.
     held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    most = most.select("bucket", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / blocks.BLOCK).cast("int").alias("main_blocks"), (F.col("all") - F.col("most.n")).alias("size"))
-    rest = scratch.table(labelled.join(most, "bucket").withColumn("is_main", F.col("root") == F.col("main")), "mixed")
-    main = rest.where("is_main").withColumn("bj", F.pmod(F.xxhash64(F.lit(11), "key"), "main_blocks").cast("int")).withColumn("blk", F.lit(0))
-    others = rest.where("not is_main")
-    facing = others.withColumn("bj", F.explode(F.expr("sequence(0, main_blocks - 1)"))).withColumn("blk", F.lit(1))
-    among = blocks.block_pairs(others.where("size > 1"), "key", "size")
-    columns = ["key", "root", "bucket", "blk", "bi", "bj"]
-    rest = main.unionByName(facing).withColumn("bi", F.lit(-1)).select(columns).unionByName(among.select(columns))
-    rest = rest.join(content, "key").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    low = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / count) ** 0.5
+    most = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket", F.col("most.root").alias("main"))
+    mixed = scratch.table(labelled.join(most, "bucket").select("bucket", "key", "root", (F.col("root") == F.col("main")).alias("is_main")), "mixed")
 
-    def across(batches):
-        for t, at in blocks.whole_groups(batches, ["bucket", "bi", "bj"]):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, count)
-            root = pd.factorize(t.column("root").to_pandas())[0]
-            blk, bi, bj, bucket = (t.column(c).to_numpy() for c in ("blk", "bi", "bj", "bucket"))
-            keys, buckets = t.column("key").to_pylist(), band_hashes(sig, bands, rows)
-            h, s = shingle_sets(*bytes_of(t.column("text")), k)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def read(t: pa.Table, at: np.ndarray):
+        """Of whole groups: keys, roots as numbers, and likely pairs (p, q, similarity) of different roots, in the first bucket that the two share."""
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, count)
+        root = pd.factorize(t.column("root").to_pandas())[0]
+        blk, bi, bj, bucket = (t.column(c).to_numpy() for c in ("blk", "bi", "bj", "bucket"))
+        buckets = band_hashes(sig, bands, rows)
+
+        def likely():
             for x, y in blocks.pairs(at, blk, bi, bj):
                 far = root[x] != root[y]
                 x, y = x[far], y[far]
-                for i in range(0, len(x), 16384):
-                    p, q = x[i : i + 16384], y[i : i + 16384]
+                for i in range(0, len(x), 8192):
+                    p, q = x[i : i + 8192], y[i : i + 8192]
                     same = (sig[p] == sig[q]).mean(1)
-                    near = same >= low
+                    near = np.flatnonzero(same >= low)
                     p, q, same = p[near], q[near], same[near]
-                    # In the first of the buckets that the two share only.
                     first = buckets[p, (buckets[p] == buckets[q]).argmax(1)] == bucket[p]
-                    found.append((p[first], q[first], same[first]))
-            p, q, same = (np.concatenate([f[i] for f in found] or [np.zeros(0)]) for i in range(3))
+                    yield p[first], q[first], same[first]
+
+        return root, likely()
+
+    def partnered(batches):
+        for t, at in blocks.whole_groups(batches, ["bucket", "bi", "bj"]):
+            some = np.zeros(t.num_rows, bool)
+            for p, q, _ in read(t, at)[1]:
+                some[p] = some[q] = True
+            yield from t.select(["bucket", "key", "root", "is_main"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    def across(batches):
+        for t, at in blocks.whole_groups(batches, ["bucket", "bi", "bj"]):
+            root, found = read(t, at)
+            p, q, same = (np.concatenate(x) for x in zip(*found, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))))
+            keys, sets = t.column("key").to_pylist(), sets_of(t.column("text"), k)
             ends, parent = [], np.arange(int(root.max(initial=0)) + 1)
 
             def find(i):
@@ -272,14 +316,18 @@ def _apart(shared: DataFrame, content: DataFrame, roots: DataFrame, scratch: Scr
                 a, b = find(root[x]), find(root[y])
                 if a == b:
                     continue
-                u, v = h[s[x] : s[x + 1]], h[s[y] : s[y + 1]]
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                if 100 * common >= threshold * (len(u) + len(v) - common):
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= threshold * (len(sets[x]) + len(sets[y]) - common):
                     parent[a] = b
                     ends.append((keys[x], keys[y]))
             yield pa.record_batch([pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], names=["a", "b"])
 
-    return rest.mapInArrow(across, "a binary, b binary")
+    group = ["bucket", "bi", "bj"]
+    by_sig = _faced(mixed.withColumn("bytes", F.lit(0))).join(classes.select("key", "sig"), "key").repartition(*group).sortWithinPartitions(*group)
+    likely = scratch.table(by_sig.mapInArrow(partnered, "bucket long, key binary, root binary, is_main boolean").distinct(), "likely")
+    sizes = content.select("key", F.octet_length("text").cast("long").alias("bytes"))
+    by_text = _faced(likely.join(sizes, "key")).join(content, "key").repartition(*group).sortWithinPartitions(*group)
+    return by_text.mapInArrow(across, "a binary, b binary")
 
 
 def labelled(docs: DataFrame, scratch: Scratch, k: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
