@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, prepare, ranges, text_or_empty
+from .common import Scratch, load, prepare, ranges, row_runs, text_or_empty
 from .tokens import encoder, vocabulary
 
 SEQ_LEN, UNIT, END_ID = 1024, 128, 0
@@ -102,11 +102,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str | None
 
         enc, cutter = encoder(tokenizer), _Cutter(TaskContext.get().partitionId(), unit, keep_ids)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, at = enc.encode(batch.column("text").to_pylist())
-            ids = np.insert(ids, at[1:], np.uint32(end_id))
-            yield cutter.batch(batch.column("skey").to_pylist(), batch.column("doc_id").to_pylist(), ids, at + np.arange(len(at)))
+            texts, skeys, doc_ids = (batch.column(c).to_pylist() for c in ("text", "skey", "doc_id"))
+            for i, j in row_runs(np.concatenate([[0], np.cumsum([len(t) for t in texts])])):
+                ids, at = enc.encode(texts[i:j])
+                ids = np.insert(ids, at[1:], np.uint32(end_id))
+                yield cutter.batch(skeys[i:j], doc_ids[i:j], ids, at + np.arange(len(at)))
         yield cutter.rest()
 
     pieces = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), skey.alias("skey"), text_or_empty().alias("text")).mapInArrow(cut, PIECE), "pieces", "zstd")

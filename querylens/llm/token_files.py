@@ -1,10 +1,11 @@
 """Operator 8, token-ID output: Arrow stream files of fixed-size-list batches.
 
-Documents are range-partitioned and sorted by doc_id (ties by text), and each partition becomes one Arrow IPC stream
-file. Its record batches have three columns: `ids` fixed_size_list<uint16 or uint32>[seq_len], `mask`
-fixed_size_list<bool>[seq_len] (false in the padding of the last sequence) and `ends` list<struct<doc_id, end>>, the
-documents that end in a sequence. Sequences have equal length, so sequence k of a mapped file lies at a fixed place
-of the ids buffer of batch k div BATCH: `sequences()` hands out views of it without copying.
+Documents are range-partitioned and sorted by doc_id (ties by text), and each partition becomes Arrow IPC stream
+files of about FILE_IDS ids (one document more at most), so rows of one doc_id are no single file. Record batches have three columns: `ids`
+fixed_size_list<uint16 or uint32>[seq_len], `mask` fixed_size_list<bool>[seq_len] (false in the padding of the last sequence) and `ends`
+list<struct<doc_id, end>>, the documents that end in a sequence. Sequences have equal length, so sequence k of a mapped file lies at a fixed place
+of the ids and mask buffers of batch k div BATCH. `SequenceFile` finds the batches by their headers alone and hands out views without
+copying: ids as numbers, a mask as its packed bits.
 
 Files are written by Spark's own writer and commit protocol to any file system that Spark can write, one row a file;
 the writer adds one newline, which stands behind the stream's end mark, where Arrow's readers don't look. A task that
@@ -27,9 +28,9 @@ from .common import Scratch, load, new_path, prepare, text_or_empty
 from .tokens import encoder, vocabulary
 
 SEQ_LEN, END_ID = 1024, 0
-#: Sequences in a record batch; bytes of text in a file, about.
-BATCH, FILE_TEXT = 1024, 24 << 20
-INDEX = "file_index int, ordinal long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+#: Sequences in a record batch; bytes of text in a range of doc_ids, about; ids at which a file ends, whatever the range holds.
+BATCH, FILE_TEXT, FILE_IDS = 1024, 12 << 20, 4 << 20
+INDEX = "file_index long, ordinal long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
 def stream_bytes(docs: list[tuple[int | None, np.ndarray]], seq_len: int, wide: bool, meta: dict[str, str]) -> bytes:
@@ -60,16 +61,36 @@ def stream_bytes(docs: list[tuple[int | None, np.ndarray]], seq_len: int, wide:
     return sink.getvalue().to_pybytes()
 
 
+class SequenceFile:
+    """Zero-copy random access to a file's bytes or a memory map. Opening reads batch headers; the data are touched by access only."""
+
+    def __init__(self, source):
+        reader = pa.ipc.open_stream(source)
+        self.batches = list(reader)
+        self.meta = {k.decode(): v.decode() for k, v in (reader.schema.metadata or {}).items()}
+        self.seq_len = reader.schema.field("ids").type.list_size
+        self.per = self.batches[0].num_rows if self.batches else 1  # as in all batches but the last
+
+    def __len__(self) -> int:
+        return sum(b.num_rows for b in self.batches)
+
+    def ids(self, k: int) -> np.ndarray:
+        """View of sequence k."""
+        flat = self.batches[k // self.per]["ids"].flatten().to_numpy(zero_copy_only=True)
+        return flat[k % self.per * self.seq_len :][: self.seq_len]
+
+    def mask(self, k: int) -> np.ndarray:
+        """View of the packed bits (least significant first) of sequence k's mask; seq_len must be a multiple of 8."""
+        bits = np.frombuffer(self.batches[k // self.per]["mask"].flatten().buffers()[1], np.uint8)
+        return bits[k % self.per * self.seq_len // 8 :][: self.seq_len // 8]
+
+
 def sequences(source) -> tuple[dict[str, str], list[np.ndarray], list[np.ndarray], list[pa.Array]]:
-    """Of a file's bytes or a memory map: its metadata, and per record batch a view of the ids (n, seq_len), the masks and the ends."""
-    reader = pa.ipc.open_stream(source)
-    ids, masks, ends = [], [], []
-    for batch in reader:
-        size = batch.schema.field("ids").type.list_size
-        ids.append(batch["ids"].flatten().to_numpy(zero_copy_only=True).reshape(-1, size))
-        masks.append(batch["mask"].flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
-        ends.append(batch["ends"])
-    return {k.decode(): v.decode() for k, v in (reader.schema.metadata or {}).items()}, ids, masks, ends
+    """Of a file's bytes or a memory map: its metadata, and per record batch a view of the ids (n, seq_len), the unpacked masks and the ends."""
+    f = SequenceFile(source)
+    ids = [b["ids"].flatten().to_numpy(zero_copy_only=True).reshape(-1, f.seq_len) for b in f.batches]
+    masks = [b["mask"].flatten().to_numpy(zero_copy_only=False).reshape(-1, f.seq_len) for b in f.batches]
+    return f.meta, ids, masks, [b["ends"] for b in f.batches]
 
 
 def read_documents(source):
@@ -85,7 +106,7 @@ def read_documents(source):
     return int(meta["file_index"]), out
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Write `docs` (doc_id, text) to Arrow stream files below path, in ascending order of doc_id."""
     spark = docs.sparkSession
     prepare(spark)
@@ -98,17 +119,26 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, seq_le
     def write(batches):
         from pyspark import TaskContext
 
-        enc, out = encoder(tokenizer), []
+        enc, out, held, files = encoder(tokenizer), [], 0, TaskContext.get().partitionId() << 32
+        kind = np.uint32 if enc.size > 65536 else np.uint16
+
+        def file():
+            blob = stream_bytes(out, seq_len, enc.size > 65536, {"file_index": str(files), "tokenizer": tokenizer.rpartition("/")[2], "end_id": str(end_id)})
+            return pa.record_batch([pa.array([blob], pa.binary())], names=["value"])
+
         for batch in batches:
             ids, at = enc.encode(batch.column("text").to_pylist())
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                out.append((doc_id, np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype(np.uint32 if enc.size > 65536 else np.uint16)))
+                out.append((doc_id, np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype(kind)))
+                held += len(out[-1][1])
+                if held >= file_ids:
+                    yield file()
+                    out, held, files = [], 0, files + 1
         if out:
-            blob = stream_bytes(out, seq_len, enc.size > 65536, {"file_index": str(TaskContext.get().partitionId()), "tokenizer": tokenizer.rpartition("/")[2], "end_id": str(end_id)})
-            yield pa.record_batch([pa.array([blob], pa.binary())], names=["value"])
+            yield file()
 
-    # The text writer copies the bytes of a string as they are, whatever they hold.
-    ordered.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.text(path)
+    # The text writer copies the bytes of a string as they are, whatever they hold. A row is a file of its own.
+    ordered.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +151,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 index, docs = read_documents(buf)
                 yield pa.record_batch([
-                    pa.array([index] * len(docs), pa.int32()), pa.array(range(len(docs)), pa.int64()), pa.array([d for d, _, _ in docs], pa.int64()), pa.array([s for _, s, _ in docs], pa.int64()),
+                    pa.array([index] * len(docs), pa.int64()), pa.array(range(len(docs)), pa.int64()), pa.array([d for d, _, _ in docs], pa.int64()), pa.array([s for _, s, _ in docs], pa.int64()),
                     pa.array([len(x) for _, _, x in docs], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, _, x in docs], pa.int64()),
                 ], names=["file_index", "ordinal", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
@@ -133,7 +163,7 @@ def with_starts(index: DataFrame) -> DataFrame:
     """Add `start`, the ids of all documents before; the only table that meets in one task has a row for each file."""
     totals = index.groupBy("file_index").agg(F.sum("n_tokens").alias("ids"))
     before = totals.select(F.col("file_index").alias("f"), (F.sum("ids").over(Window.orderBy("file_index")) - F.col("ids")).alias("before"))
-    return index.join(F.broadcast(before), F.col("file_index") == F.col("f")).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "file_index")
+    return index.join(before, F.col("file_index") == F.col("f")).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "file_index")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

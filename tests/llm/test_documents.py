@@ -22,7 +22,6 @@ def ids_of():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -374,3 +373,40 @@ def test_toxicity_learns_pairs(spark, odd, empty):
     assert out.columns == odd.columns and out.count() == odd.count()
     assert toxicity_fm.keep_clean(empty, labels).count() == 0
     assert toxicity_fm.scored(odd, model).where("text = '' or text is null").select(odd.columns[0]).count() == 3
+
+
+def test_run_hashes_do_not_turn_on_windows():
+    from querylens.llm.common import RunHasher
+
+    data = np.random.default_rng(1).integers(0, 256, 300_000).astype(np.uint8)
+    starts, ends = np.array([0, 10, 10, 70_000, 100_000]), np.array([5, 12, 69_000, 70_001, 299_000])
+    small = type("Small", (RunHasher,), {"WINDOW": 1000})
+    assert np.array_equal(RunHasher()(data, starts, ends - starts), small()(data, starts, ends - starts))
+    assert len(set(RunHasher()(np.tile(data[:100], 5), np.arange(5) * 100, np.full(5, 100)).tolist())) == 1
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from querylens.llm import tokens
+
+    e, long = Encoder(vocabulary()), "don't we'll  say\n\n it's 12 a b c  " * 80
+    texts = [long, "", "x", long + "<|endoftext|>" + long, "日本語 ½" * 300]
+    monkeypatch.setattr(tokens, "RUN", 200)
+    ids, at = e.encode(texts)
+    for i, ref in enumerate(e._plain(texts)):
+        assert np.array_equal(ids[at[i] : at[i + 1]], ref)
+
+
+def test_crowded_buckets(spark):
+    """Over 1,000 classes that share buckets: the bases' pairs go through blocks on both sides."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(1100):
+        t = list(base)
+        for _ in range(rng.randint(0, 7)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
+    assert len({r.component_id for r in got}) > 3
