@@ -351,30 +351,80 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in range(1, 201)} | {501: 500} | {900 + i: 900 for i in range(1, 50)}
 
 
-def test_toxicity_learns_pairs(spark, odd, empty):
-    import random
-
+def labelled_words(rule, n=1500, share=0.5):
     rng = random.Random(5)
-    noise = [f"word{i}" for i in range(200)]
-    rows, labels = [], []
-    for i in range(1500):
-        insult, group = rng.random() < 0.5, rng.random() < 0.5
+    noise, rows, labels = [f"word{i}" for i in range(200)], [], []
+    for i in range(n):
+        insult, group = rng.random() < share, rng.random() < share
         words = [rng.choice(noise) for _ in range(20)] + ["IDIOT"] * insult + ["people"] * group
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
-        labels.append((i, 1, int(insult and group)))
+        labels.append((i, 1, int(rule(insult, group))))
+    return rows, labels
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b])
+def test_toxicity_learns_pairs(spark, odd, empty, rule):
+    """Labels that turn on a pair of words, neither of which tells anything alone in the second case: without the factors the model fails."""
+    rows, labels = labelled_words(rule)
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity_fm.train(docs, labels)
-    got = {r.doc_id: r.score for r in toxicity_fm.scored(docs, model).collect()}
-    held = [(got[r.doc_id] >= 0.5) == bool(r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert len(held) > 200 and sum(held) / len(held) > 0.97
-    assert {r.doc_id: r.score for r in toxicity_fm.scored(docs, toxicity_fm.train(docs, labels)).collect()} == got
+    toxic = {r.doc_id: bool(r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+
+    def right(m):
+        got = {r.doc_id: r.score for r in toxicity_fm.scored(docs, m).collect()}
+        return sum((got[d] >= 0.5) == t for d, t in toxic.items()) / len(toxic), got
+
+    whole, got = right(model)
+    assert len(toxic) > 200 and whole > 0.97 and right(toxicity_fm.Model(model.bias, model.w, model.v * 0))[0] < 0.8
+    assert right(toxicity_fm.train(docs, labels))[1] == got
     out = toxicity_fm.keep_clean(odd, labels.where("doc_id is null"))
     assert out.columns == odd.columns and out.count() == odd.count()
     assert toxicity_fm.keep_clean(empty, labels).count() == 0
     assert toxicity_fm.scored(odd, model).where("text = '' or text is null").select(odd.columns[0]).count() == 3
 
 
+def test_toxicity_scores_are_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity_fm.Model(-0.5, rng.normal(size=40), rng.normal(size=(40, 8)))
+    rows = [np.sort(rng.choice(40, n, replace=False)) for n in (0, 1, 2, 7, 25)]
+    got = m.score(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for r, s in zip(rows, got):
+        raw = m.bias + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[k + 1 :])
+        assert abs(s - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Thousands of rows of one doc_id are one training row; a very long text is cut for its terms, and gives the same ones."""
+    rows, labels = labelled_words(lambda a, b: a, 60)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [rows[1]] * 3000, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity_fm, "fit", lambda slots, at, y: seen.append((slots.tolist(), at.tolist(), y.tolist())))
+    for docs in (once, often):
+        toxicity_fm.train(docs, labels, max_rows=10)
+    assert seen[0] == seen[1] and len(seen[0][2]) == 10
+    import pyarrow as pa
+
+    text = " ".join(f"word{i} étude{i}" for i in range(20_000))
+    whole = toxicity_fm.terms(*toxicity_fm.bytes_of(pa.array([text])))[0]
+    monkeypatch.setattr(toxicity_fm, "RUN_BYTES", 10_000)
+    ((_, _, parts, _),) = toxicity_fm.terms_of(pa.array([text]))
+    assert np.array_equal(whole, parts)
+
+
+def test_op9_columns(spark, tmp_path):
+    rows, labels = labelled_words(lambda a, b: a and b, 400)
+    spark.createDataFrame(rows + [(None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity_fm.op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 401
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+
+
 def test_run_hashes_do_not_turn_on_windows():
     from querylens.llm.common import RunHasher
 
