@@ -71,7 +71,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        for name in names:
+        for name in names:  # those that are there
             if path := self.paths.pop(name, None):
                 drop_path(self.spark, path)
 
@@ -100,6 +100,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def sieve(df: DataFrame, *keys: str, bits: int = 1 << 23):
+    """A test of columns that is false only where no row of df has these keys, as a set of `bits` bits, whatever the size of df.
+
+    Rows that fail it needn't go to a join on the keys. A df of many more rows than bits lets everything pass. The bits are a scalar subquery of
+    bits / 8 bytes.
+    """
+    place = lambda columns: F.pmod(F.xxhash64(F.lit(23), *columns), F.lit(bits))
+    words = df.select(place(keys).alias("place")).groupBy(F.expr("place div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("w"))
+    words = df.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("i"), "left")
+    one = words.agg(F.expr("transform(sort_array(collect_list(struct(id, coalesce(w, 0L) as w))), x -> x.w)").alias("words"))
+    # Shifts, not divisions: places are under 2^31.
+    return lambda *columns: F.bit_get(F.get(one.scalar(), F.shiftright(place(columns), 6).cast("int")), (place(columns) % 64).cast("int")) == 1
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import RUN_BYTES, RunHasher, Scratch, bytes_of, free_shuffles, load, mix64, prepare, ranges, row_runs
+from .common import RUN_BYTES, RunHasher, Scratch, bytes_of, free_shuffles, load, mix64, prepare, ranges, row_runs, sieve
 from .components import components
 
 BANDS, ROWS, SEED = 40, 6, 20_11
@@ -229,10 +229,11 @@ def link_classes(docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int,
     stars = stars.select(F.greatest("centre", "member").alias("x"), F.least("centre", "member").alias("y"), "centre").groupBy("x", "y").agg(F.min("centre").alias("centre")).select("centre", F.expr("if(centre = x, y, x)").alias("member"))
 
     # Texts of the classes that share a bucket, by the document that stands for the class.
-    wanted = popular.select("key").join(classes, "key")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    wanted = scratch.table(popular.select("key").join(classes, "key"), "wanted")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where(sieve(wanted, "own_hash", "own_id")("text_hash", "doc_id"))
     content = texts.join(wanted, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     content = scratch.table(content.select("key", "sig", "text").dropDuplicates(["key"]), "content", "zstd")
+    scratch.drop("wanted")
     free_shuffles(spark)
     links = scratch.table(_verify(stars, content, k, threshold, count, scratch, "star"), "star-links")
     roots = scratch.table(components(links, scratch, "first"), "first-roots")
@@ -358,9 +359,13 @@ def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     stored = scratch.table(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "dedup-input", "zstd")
     doc_id, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     groups = scratch.table(labelled(stored.select("rid", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, k, threshold), "groups")
-    first = groups.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid")).select("rid")
-    kept = scratch.table(first.unionByName(groups.where("root is null").select("rid")), "kept")
-    return stored.join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)
+    scratch.drop(*(x for x in scratch.paths if x not in ("dedup-input", "groups")))
+    first = groups.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("first"))
+    dropped = scratch.table(groups.join(first, "root").where("rid <> first").select("rid"), "dropped")
+    # Most documents stay where they are: only those that the sieve holds back meet the list of dropped ones.
+    held = sieve(dropped, "rid")
+    kept = stored.where(~held("rid")).unionByName(stored.where(held("rid")).join(dropped, "rid", "left_anti"))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
