@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 def schedule(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Of (rid, doc_id, source, size): the documents with source_size and target, and the schedule.
 
-    The schedule has a row for each piece of a document in a block: slot (place in the mix), skey, block, rid, lo, hi
-    (the words [lo, hi) of the document). rid must be unique and must not change when docs is read again.
+    The schedule has a row for each piece of a document in a block: slot (place in the mix), skey, block, rid, epoch (which of its
+    repeats), lo, hi (the words [lo, hi) of the document). rid must be unique and must not change when docs is read again.
     """
     skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -80,17 +80,17 @@ def schedule(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
     inside = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("digest", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     docs = docs.join(before, ["skey", "bucket"]).withColumn("begin", F.col("words_before") + inside)
     docs = scratch.table(docs.join(sources.select("skey", "source_size", "target", "quota"), "skey").select("rid", "doc_id", "source", "skey", "size", "begin", "source_size", "target", "quota"), "placed")
-    laid = docs.where("size > 0").select("rid", "skey", "quota", "size", F.explode(F.expr(f"transform(sequence(0, {most - 1}), e -> begin + e * source_size)")).alias("begin"))
+    laid = docs.where("size > 0").select("rid", "skey", "quota", "size", F.explode(F.expr(f"transform(sequence(0, {most - 1}), e -> struct(e as epoch, begin + e * source_size as begin))")).alias("at")).select("rid", "skey", "quota", "size", "at.*")
     laid = laid.where("begin < quota").withColumn("end", F.expr("least(begin + size, quota)"))
-    pieces = laid.select("rid", "skey", "begin", "end", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")).alias("block"))
-    pieces = pieces.select("rid", "skey", "block", F.expr(f"greatest(begin, block * {block}) - begin").alias("lo"), F.expr(f"least(end, (block + 1) * {block}) - begin").alias("hi"))
+    pieces = laid.select("rid", "skey", "epoch", "begin", "end", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")).alias("block"))
+    pieces = pieces.select("rid", "skey", "epoch", "block", F.expr(f"greatest(begin, block * {block}) - begin").alias("lo"), F.expr(f"least(end, (block + 1) * {block}) - begin").alias("hi"))
     return docs, pieces.join(ranked, ["skey", "block"])
 
 
 def taken(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """Words that the mix takes of each document, repeats counted."""
-    words = mix.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    return docs.join(words, "rid", "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0).cast("long")))
+    """Words that the mix takes of each document, repeats counted, and the first of its slots in the schedule (-1 where nothing is taken)."""
+    words = mix.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("first_slot"))
+    return docs.join(words, "rid", "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0).cast("long"))).withColumn("first_slot", F.coalesce(F.col("first_slot"), F.lit(-1).cast("long")))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -98,29 +98,33 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Documents in the mix, with their own columns: a row for each time that a document is taken, to the word. The quota of a source ends in one
-    document at most, of which the first words are taken; its text is cut behind them, and n_chars is of the cut text."""
+    """Documents in the mix, with their own columns, in the order of the schedule: a row for each time that a document is taken, to the word. The quota of
+    a source ends in one document at most, of which the first words are taken; its text is cut behind them, and n_chars is of the cut text."""
     spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark)
-    kept = scratch.table(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-input", "zstd")
-    sizes = scratch.table(sized(kept.select(F.col("__rid").alias("rid"), "doc_id", "source", "text")).drop("text"), "mix-sizes")
-    words = taken(*schedule(sizes, scratch)).where("taken > 0").select(F.col("rid").alias("__rid"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = kept.join(words, "__rid").withColumn("__words", F.explode(F.expr("transform(sequence(0L, (__taken - 1) div __size), i -> least(__size, __taken - i * __size))")))
-    part, first = F.col("__words") < F.col("__size"), F.slice(F.regexp_extract_all("text", F.lit(BLANKS + WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int"))
-    rows = rows.withColumn("text", F.when(part, F.array_join(first, "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    scratch, names = Scratch(spark), [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    kept = scratch.table(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "mix-input", "zstd")
+    sizes = scratch.table(sized(kept.select("rid", F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"))).drop("text"), "mix-sizes")
+    placed, mix = schedule(sizes, scratch)
+    copies = scratch.table(mix.groupBy("rid", "epoch").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"), F.min("slot").alias("slot")).join(placed.select("rid", "size"), "rid"), "copies")
+    scratch.drop("mix-sizes", "buckets", "sources", "slots", "placed")
+    rows = kept.join(copies, "rid").repartitionByRange("slot", "rid", "epoch").sortWithinPartitions("slot", "rid", "epoch")
+    part, text = F.col("words") < F.col("size"), F.col(at["text"])
+    first = F.slice(F.regexp_extract_all(text, F.lit(BLANKS + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int"))
+    rows = rows.withColumn(at["text"], F.when(part, F.array_join(first, "")).otherwise(text))
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.when(part, F.length(at["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"])))
+    return rows.select(*names).toDF(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = sized(load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
     docs = scratch.table(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "size"), "sizes")
-    return taken(*schedule(docs, scratch)).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(*schedule(docs, scratch)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The same rows for DuckDB, where `taken` is the overlap of a document's two places with the source's quota.
+#: The same rows for DuckDB: `taken` is the overlap of a document's two places with the source's quota, and slots are the reversed bits of cells.
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -139,8 +143,19 @@ WITH d AS (
   SELECT d.*, t.n, t.target, least(2 * t.n, floor(t.target + 0.5)) AS quota,
     sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat('7:', doc_id)), size, doc_id ROWS UNBOUNDED PRECEDING) - size AS b
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT doc_id, size, source, n, target, b, greatest(0, least(b + size, quota) - b) + greatest(0, least(n + b + size, quota) - (n + b)) AS taken FROM p
+), k AS (
+  SELECT source, ceil(least(2 * n, floor(target + 0.5)) / 1024)::BIGINT AS blocks FROM t
+), c AS (
+  SELECT source, blocks, sum(blocks) OVER (ORDER BY source NULLS LAST) - blocks AS cell, greatest(1, length(bin((sum(blocks) OVER () - 1)::BIGINT))) AS bits FROM k
+), e AS (
+  SELECT source, bits, unnest(range(cell::BIGINT, (cell + blocks)::BIGINT)) AS cell FROM c
+), v AS (
+  SELECT source, list_sum(list_transform(range(0, bits), lambda i: ((cell >> i) & 1) * (1::BIGINT << (bits - 1 - i))))::BIGINT AS slot FROM e
+), o AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM v
 )
-SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
-  (greatest(0, least(b + size, quota) - b) + greatest(0, least(n + b + size, quota) - (n + b)))::BIGINT AS taken
-FROM p
+SELECT doc_id, size::BIGINT AS size, x.n::BIGINT AS source_size, target, taken::BIGINT AS taken, coalesce(o.slot, -1) AS first_slot
+FROM x LEFT JOIN o ON x.source IS NOT DISTINCT FROM o.source AND x.taken > 0 AND o.block = x.b // 1024
 """

@@ -460,3 +460,13 @@ def test_crowded_buckets(spark):
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
     assert len({r.component_id for r in got}) > 3
+
+
+def test_sieve_holds_back_no_known_key(spark):
+    from querylens.llm.common import sieve
+
+    some = spark.createDataFrame([(i * 7, f"t{i}") for i in range(500)] + [(None, "x")], "a long, b string")
+    many = spark.range(5000).selectExpr("id as a", "concat('t', id div 7) as b").unionByName(some)
+    got = many.where(sieve(some, "a", "b", bits=1 << 16)("a", "b"))
+    assert got.join(some.dropDuplicates(), many.a.eqNullSafe(some.a) & (many.b == some.b), "left_semi").count() == 500 + 501 and got.count() < 1200
+    assert many.where(sieve(some.limit(0), "a")("a")).count() == 0
