@@ -5,14 +5,15 @@ Rules. A rule (host, path) fits its host and all subdomains where the url's path
 Templates, per host, level by level until no path is deeper. The shape of the tree turns on distinct paths, however often each is seen:
 1. A segment that varies becomes a wildcard: one that holds a digit, or one of a parent with at least MANY distinct segments
    with MOST_OFTEN paths or fewer each on average.
-2. The branches of a parent that stay are compared with all its branches together: by the Jensen-Shannon divergence between what comes next below a
-   branch (kind of the next segment, and label; the pages of a path share its weight of 1) and below all. Branches under ALIKE, with SEEN paths or more, merge into one, written `(*)`. Comparing with the
-   whole, not with each other, is linear in the branches.
+2. Branches of a parent that stay and are alike merge into one, written `(least+)` by its least segment. A branch's profile is what comes next below it: the
+   shares of its paths by kind of the next segment and by label (the pages of a path share its weight of 1). Branches of SEEN paths or more fall into buckets by
+   their profile, rounded to GRID parts; in a bucket of two or more, those whose Jensen-Shannon divergence from the bucket's pooled profile is ALIKE or
+   less merge. So branches are compared with those that are like them, and the work is linear in the branches.
 3. Labels are the rules' own verdicts, or any (page_id, bad) table. A template's purity is (bad + STRENGTH * prior) / (labelled + STRENGTH); the prior is its
    host's smoothed share, whose own prior is that of all urls. A template with labelled urls, whose purity is REJECT or more, rejects.
 
-All counts are plain two-step aggregates over (host, path parts), so a host with a third of all urls is never one group. Templates join back
-to the distinct (host, path shapes), not to urls of a host.
+All counts are plain two-step aggregates over (host, path parts), so a host with a third of all urls is never one group. What a parent decides is
+joined to its distinct segments, in SALTS parts; steps join back by (host, template, segment) to distinct paths, not to urls of a host.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is allowed; an empty path is the template ``; page_id may
 be null or repeat; html and extra columns are never read; an empty table gives no rows.
@@ -44,7 +45,8 @@ class UrlRule:
 
 
 RULES = (UrlRule("block", "com/en/"), UrlRule("allow", "example.com/en/7"), UrlRule("allow", "net/de/"), UrlRule("block", "example.net/de/8"), UrlRule("block", "org/es/"))
-MANY, MOST_OFTEN, ALIKE, SEEN, STRENGTH, REJECT = 20, 2.0, 0.05, 8, 4.0, 0.8
+MANY, MOST_OFTEN, GRID, ALIKE, SEEN, STRENGTH, REJECT, SALTS = 20, 2.0, 4, 0.05, 8, 4.0, 0.8, 16
+KINDS, LABELS = ("end", "slash", "digits", "word"), ("bad", "good", "none")
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -75,6 +77,32 @@ def _kind(segment: Column) -> Column:
     return F.when(segment.isNull(), "end").when(segment == "", "slash").when(segment.rlike("[0-9]"), "digits").otherwise("word")
 
 
+def _divergence(p: str, q: str) -> Column:
+    """Jensen-Shannon divergence, in bits, of two arrays of weights, each scaled to 1."""
+    one = lambda x: f"transform({x}, v -> v / aggregate({x}, 0d, (s, w) -> s + w))"
+    both = "if(a = 0, 0d, a * log2(2 * a / (a + b))) + if(b = 0, 0d, b * log2(2 * b / (a + b)))"
+    return F.expr(f"0.5 * aggregate(zip_with({one(p)}, {one(q)}, (a, b) -> {both}), 0d, (s, v) -> s + v)")
+
+
+def _steps(at: DataFrame) -> DataFrame:
+    """(host, template, segment, step) of the words among the segments of one level, of (host, template, segment, next, n, labelled, bad)."""
+    weight = {"bad": F.col("bad") / F.col("n"), "good": (F.col("labelled") - F.col("bad")) / F.col("n"), "none": (F.col("n") - F.col("labelled")) / F.col("n")}
+    cells = F.array(*(F.round(F.sum(F.when(F.col("next") == k, weight[x]).otherwise(0.0)), 9) for k in KINDS for x in LABELS))
+    seen = at.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("paths"), cells.alias("profile"))
+    parents = seen.groupBy("host", "template").agg(((F.count(F.lit(1)) >= MANY) & (F.sum("paths") <= F.count(F.lit(1)) * MOST_OFTEN)).alias("varies"))
+    parents = parents.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int")).join(parents, ["host", "template", "salt"]).drop("salt")
+    bucket = F.when(~F.col("varies") & (F.col("paths") >= SEEN), F.expr(f"array_join(transform(profile, v -> cast(floor(round(v / paths, 9) * {GRID} + 0.5) as int)), ',')"))
+    seen = seen.withColumn("bucket", bucket)
+    size = len(KINDS) * len(LABELS)
+    pooled = seen.where("bucket is not null").groupBy("host", "template", "bucket").agg(F.array(*(F.round(F.sum(F.get("profile", F.lit(i))), 6) for i in range(size))).alias("pooled"))
+    alike = seen.join(pooled, ["host", "template", "bucket"]).where(_divergence("profile", "pooled") <= ALIKE).select("host", "template", "bucket", "segment")
+    least = alike.groupBy("host", "template", "bucket").agg(F.min("segment").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    merged = alike.join(least, ["host", "template", "bucket"]).select("host", "template", "segment", F.concat(F.lit("("), "least", F.lit("+)")).alias("merged"))
+    step = F.when(F.col("varies"), "*").otherwise(F.coalesce("merged", "segment"))
+    return seen.join(merged, ["host", "template", "segment"], "left").select("host", "template", "segment", step.alias("step"))
+
+
 def templates(urls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of (host, path, bad), bad null where there is no label: (host, path, template) of distinct paths, and the templates with their figures."""
     paths = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
@@ -82,34 +110,16 @@ def templates(urls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     paths = scratch.table(paths.withColumn("template", F.lit("")), "paths-0")
     for level in itertools.count():
         here, below = F.get("parts", F.lit(level)), F.get("parts", F.lit(level + 1))
-        at = paths.where(F.size("parts") > level).withColumn("segment", here).withColumn("kind", _kind(here)).withColumn("next", _kind(below))
-        # Distinct segments of a parent, two aggregates: by segment, then by parent.
-        seen = at.where("kind = 'word'").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("paths"))
-        parents = seen.groupBy("host", "template").agg(F.count(F.lit(1)).alias("segments"), F.sum("paths").alias("paths")).withColumn("varies", (F.col("segments") >= MANY) & (F.col("paths") <= F.col("segments") * MOST_OFTEN)).select("host", "template", "varies")
-        # What comes next below each branch that stays, and below all branches of its parent.
-        stays = at.where("kind = 'word'").join(parents, ["host", "template"]).where("not varies")
-        label = F.expr("explode(array(struct('bad' as label, bad / n as c), struct('good' as label, (labelled - bad) / n as c), struct('none' as label, (n - labelled) / n as c)))")
-        cells = stays.select("host", "template", "segment", "next", label.alias("x")).groupBy("host", "template", "segment", "next", F.col("x.label").alias("label")).agg(F.sum("x.c").alias("c")).where("c > 0")
-        cells = scratch.table(cells, f"cells-{level}")
-        branch = cells.groupBy("host", "template", "segment").agg(F.sum("c").alias("branch"))
-        whole = cells.groupBy("host", "template", "next", "label").agg(F.sum("c").alias("all_c"))
-        total = whole.groupBy("host", "template").agg(F.sum("all_c").alias("total"))
-        p, q = F.col("c") / F.col("branch"), F.col("all_c") / F.col("total")
-        m = (p + q) / 2
-        # 2 JS = sum over cells of the branch of [p log(p/m) + q log(q/m)], and q log 2 for cells that only the whole has.
-        js = cells.join(branch, ["host", "template", "segment"]).join(whole, ["host", "template", "next", "label"]).join(total, ["host", "template"])
-        js = js.groupBy("host", "template", "segment").agg((0.5 * (F.sum(p * F.log2(p / m) + q * F.log2(q / m)) + 1 - F.least(F.lit(1.0), F.sum(q)))).alias("divergence"), F.first("branch").alias("branch"))
-        # A branch is a sum of shares, and SEEN of them may come a little under SEEN.
-        alike = js.where((F.col("divergence") <= ALIKE) & (F.col("branch") > SEEN - 0.5)).select("host", "template", "segment", F.lit("(*)").alias("merged"))
-        # Only parents where two branches or more are alike have a merged branch.
-        several = alike.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-        alike = alike.join(several, ["host", "template"])
-        named = at.select("host", "path", "template", "segment", "kind").join(parents, ["host", "template"], "left").join(alike, ["host", "template", "segment"], "left")
-        step = F.when(F.col("kind") == "slash", "").when((F.col("kind") == "digits") | F.coalesce("varies", F.lit(False)), "*").otherwise(F.coalesce("merged", "segment"))
-        step = F.concat("template", F.lit("/"), step)
-        named = named.select("host", "path", step.alias("longer"))
-        paths = scratch.table(paths.join(named, ["host", "path"], "left").withColumn("template", F.coalesce("longer", "template")).drop("longer"), f"paths-{level + 1}")
-        scratch.drop(f"paths-{level}", f"cells-{level}")
+        at = paths.withColumn("kind", F.when(F.size("parts") > level, _kind(here)))
+        word = at.where("kind = 'word'").withColumn("segment", here)
+        steps = scratch.table(_steps(word.withColumn("next", _kind(below))), f"steps-{level}")
+        longer = lambda step: F.concat("template", F.lit("/"), step)
+        # Only words ask the table of steps; paths that have ended stay as they are.
+        columns = [F.col(c) for c in paths.columns if c != "template"]
+        named = word.join(steps, ["host", "template", "segment"]).select(*columns, longer(F.col("step")).alias("template"))
+        other = at.where("kind is null or kind <> 'word'").select(*columns, F.when(F.col("kind") == "slash", longer(F.lit(""))).when(F.col("kind") == "digits", longer(F.lit("*"))).otherwise(F.col("template")).alias("template"))
+        paths = scratch.table(named.unionByName(other), f"paths-{level + 1}")
+        scratch.drop(f"paths-{level}", f"steps-{level}")
         if paths.where(F.size("parts") > level + 1).isEmpty():
             break
     counts = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))

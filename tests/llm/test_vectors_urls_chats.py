@@ -112,6 +112,88 @@ def test_templates_do_not_turn_on_repetition(spark):
     assert all((v == "block") == ("/bad/" in p) and t == f"/a/b/c/d/e/f/{p.split('/')[7]}/x/*" for (h, p), (t, v) in made[3].items() if h == "deep.io")
 
 
+def brute_templates(urls):
+    """(template, purity, rejected) by (host, path), in plain Python, of (host, path, bad or None)."""
+    t = url_templates
+    groups = {}
+    for host, path, bad in urls:
+        groups.setdefault((host, path), []).append(bad)
+    at = {k: ("", k[1][1:].split("/") if k[1] else []) for k in groups}
+    kind = lambda parts, i: "end" if i >= len(parts) else "slash" if parts[i] == "" else "digits" if re.search("[0-9]", parts[i]) else "word"
+
+    def js(p, q):
+        p, q = ([x / sum(v) for x in v] for v in (p, q))
+        return 0.5 * sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q))
+
+    for level in range(max(len(p) for _, p in at.values())):
+        branches = {}
+        for key, (template, parts) in at.items():
+            if kind(parts, level) == "word":
+                cells = branches.setdefault((key[0], template), {}).setdefault(parts[level], [[0.0] * 12, 0])
+                labels = groups[key]
+                for j, share in enumerate((sum(x is True for x in labels), sum(x is False for x in labels), sum(x is None for x in labels))):
+                    cells[0][3 * t.KINDS.index(kind(parts, level + 1)) + j] += share / len(labels)
+                cells[1] += 1
+        step = {}
+        for parent, segments in branches.items():
+            if len(segments) >= t.MANY and sum(n for _, n in segments.values()) <= len(segments) * t.MOST_OFTEN:
+                step |= {(*parent, s): "*" for s in segments}
+                continue
+            buckets = {}
+            for s, (v, n) in segments.items():
+                step[(*parent, s)] = s
+                if n >= t.SEEN:
+                    buckets.setdefault(tuple(math.floor(round(x / n, 9) * t.GRID + 0.5) for x in v), []).append(s)
+            for names in buckets.values():
+                pooled = [sum(x) for x in zip(*(segments[s][0] for s in names))]
+                alike = [s for s in names if js(segments[s][0], pooled) <= t.ALIKE]
+                if len(alike) > 1:
+                    step |= {(*parent, s): f"({min(alike)}+)" for s in alike}
+        for key, (template, parts) in at.items():
+            if (k := kind(parts, level)) != "end":
+                at[key] = (template + "/" + {"slash": "", "digits": "*"}.get(k, step.get((key[0], template, parts[level]))), parts)
+    count = Counter()
+    for key, labels in groups.items():
+        for where in ((key[0], at[key][0]), key[0], None):
+            count[where, "n"] += sum(x is not None for x in labels)
+            count[where, "bad"] += sum(x is True for x in labels)
+    out = {}
+    for key in groups:
+        own, host = (key[0], at[key][0]), key[0]
+        prior = (count[host, "bad"] + t.STRENGTH * (count[None, "bad"] + 1) / (count[None, "n"] + 2)) / (count[host, "n"] + t.STRENGTH)
+        purity = (count[own, "bad"] + t.STRENGTH * prior) / (count[own, "n"] + t.STRENGTH)
+        out[key] = (at[key][0], round(purity, 9), count[own, "n"] > 0 and purity >= t.REJECT)
+    return out
+
+
+def test_templates_equal_a_plain_tree(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefg"), 5))
+    urls = []
+    for h in range(4):
+        host = f"h{h}.io"
+        for section in ("alpha", "beta", "gamma", "deal", "win", "x", ""):
+            shape = int(rng.integers(0, 4))
+            for i in range(int(rng.integers(1, 40))):
+                rest = (f"/{i}", f"/{word()}/{i}", "", f"/{word()}/{word()}/c/d/e/f/g/h/{'good' if i % 2 else 'bad'}")[shape]
+                bad = None if rng.random() < 0.4 else bool((section in ("deal", "win") or rest.endswith("bad")) and rng.random() < 0.95)
+                urls += [(host, f"/{section}{rest}", bad)] * int(rng.integers(1, 3))
+    urls += [("alike.io", f"/{b}/{i}", None) for b in ("alpha", "beta") for i in range(9)] + [("alike.io", f"/{b}/{'z' * i}/q", None) for b in ("one", "two", "six") for i in range(1, 12)] + [("empty.io", "", None)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (*_, b) in enumerate(urls) if b is not None], "page_id long, bad boolean")
+    expected = brute_templates(urls)
+    got = {(r.host, r.path): (r.template, round(r.purity, 9), r.verdict == "block") for r in url_templates.filter_urls(df, (), labels).collect()}
+    assert got == expected
+    assert expected["alike.io", "/alpha/3"][0] == "/(alpha+)/*" == expected["alike.io", "/beta/3"][0] and len({t for t, *_ in expected.values()}) > 20
+    assert any(block for *_, block in expected.values()) and any("+)" in t for t, *_ in expected.values())
+
+
+def test_op2_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.com/en/1", "<p>"), (2, None, None), (None, "x://b.io/q", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_templates.op2_url_templates(spark, str(tmp_path)).collect()}
+    assert got == {1: ("a.com", "/en/1", "com/en/", "block"), 2: ("", "", None, "allow"), None: ("b.io", "/q", None, "allow")}
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "<|im_start|> and <\\|x and < | <|"), (2, 1, "assistant", "second"), (2, 0, "user", None), (3, 0, None, "no role"), (3, 0, "assistant", ""), (None, 5, "user", "lost"), (None, 6, "assistant", "kept"),
     (4, None, "user", "early"), (4, 0, "a\nb\\n<|", "odd role"), (5, 0, "assistant", "été \U0001f600"), (5, 0, "assistant", "été \U0001f600"), (6, 0, "user", "<" + "\\" * 5 + "|"), (7, 0, "user", "x" * 100_000),
