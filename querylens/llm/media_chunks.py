@@ -134,14 +134,14 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "digest binary, packed binary")
 
 
-def store(docs: DataFrame, path: str, existing: DataFrame | None = None) -> DataFrame:
-    """Write the documents' distinct chunks below path, in buckets of the digest, without those that `existing` has."""
+def store(docs: DataFrame, path: str, existing: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """Write the documents' distinct chunks below path, in buckets of the digest, without those that `existing` has. name: the table's in the catalog."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     new = chunks(docs).repartition(buckets, "digest").dropDuplicates(["digest"])
     if existing is not None:
         new = new.join(existing.select("digest"), "digest", "left_anti")
-    name = f"chunk_store_{uuid.uuid4().hex}"
+    name = name or f"chunk_store_{uuid.uuid4().hex}"
     new.write.bucketBy(buckets, "digest").sortBy("digest").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -228,9 +228,11 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = scratch.table(recipes(docs), "recipes", "zstd")
     path = new_path(spark, "chunks")
     scratch.paths["chunks"] = path
-    chunk_store = store(docs.select("text"), path)
+    name = f"chunk_store_{uuid.uuid4().hex}"
+    chunk_store = store(docs.select("text"), path, name=name)
     free_shuffles(spark)
     time.sleep(1)  # the JVM's cleaner removes files in the background
     facts = scratch.table(restored(listed, chunk_store), "facts", "zstd")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     scratch.drop("chunks")
     return listed.select("doc_id", "n_bytes", "payload_bytes", "recipe").join(facts, "recipe").drop("recipe")
