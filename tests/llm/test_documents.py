@@ -470,3 +470,24 @@ def test_sieve_holds_back_no_known_key(spark):
     got = many.where(sieve(some, "a", "b", bits=1 << 16)("a", "b"))
     assert got.join(some.dropDuplicates(), many.a.eqNullSafe(some.a) & (many.b == some.b), "left_semi").count() == 500 + 501 and got.count() < 1200
     assert many.where(sieve(some.limit(0), "a")("a")).count() == 0
+
+
+def test_rows_of_one_doc_id_are_many_files(spark, ids_of):
+    """Files end by their ids, whatever doc_ids they hold; a file is opened at any sequence without a copy."""
+    rows = [(5, f"text {i} " * 20) for i in range(60)] + [(None, "none " * 50)] * 3
+    path = new_path(spark, "t")
+    token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, seq_len=64, file_ids=500)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect() if r.length]
+    assert len(files) > 4
+    got = token_files.with_starts(token_files.read_index(spark, path)).collect()
+    expected, start = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        expected.append((d, start, crc(ids_of(t))))
+        start += len(ids_of(t))
+    assert sorted(((r.doc_id, r.start, r.ids_crc32) for r in got), key=lambda x: x[1]) == expected
+    for blob in files:
+        f, (_, ids, masks, _) = token_files.SequenceFile(blob), token_files.sequences(blob)
+        every, mask = np.concatenate(ids), np.concatenate(masks)
+        for k in range(len(f)):
+            assert np.array_equal(f.ids(k), every[k]) and not f.ids(k).flags.owndata and not f.mask(k).flags.owndata
+            assert np.array_equal(np.unpackbits(f.mask(k), bitorder="little").astype(bool), mask[k])
