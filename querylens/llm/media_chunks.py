@@ -12,8 +12,8 @@ packed by zstd, under the first 16 bytes of its SHA-256; a recipe lists a payloa
 
    A payload of one chunk needs no meeting.
 
-Chunk bytes are shuffled twice at most, packed; a hot chunk or text is one row after the first task-side step. The shuffle files of step 2
-are freed before step 3.
+Chunk bytes are shuffled twice at most, packed; a hot chunk or text is one row of the store after the first task-side step, and is broadcast to the
+recipes that share it (`_with_bytes`). The shuffle files of step 2 are freed before step 3.
 
 Defined results: null text is empty; an empty text is 64 zero bytes; equal texts have equal values; a null doc_id and repeated rows
 are documents like others; extra columns are ignored; an empty table gives no rows.
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bytes_of, free_shuffles, load, new_path, prepare, ranges, text_or_empty
 
 UNIT, LEAST, CUT_BITS, MOST, SEED, LEVEL = 64, 1024, 12, 16384, 20_01, 9
+#: A chunk is hot if more than one in MOST_HOT of the rows that need chunks need it, and more than HOT_USES do.
+MOST_HOT, HOT_USES = 1024, 1000
 WINDOW = 32
 MAGIC = b"CDC1"
 
@@ -146,14 +148,41 @@ def store(docs: DataFrame, path: str, existing: DataFrame | None = None, name: s
     return spark.table(name)
 
 
+def _with_bytes(rows: DataFrame, chunk_store: DataFrame) -> DataFrame:
+    """rows (.., digest) with the packed bytes of their chunks.
+
+    The store's buckets fix which task a digest goes to, so chunks that very many recipes share would each fill one. A sketch of the digests' counts
+    (MOST_HOT * 16 entries a task, no shuffle) names those with more than one in MOST_HOT of all rows: fewer than MOST_HOT chunks of MOST bytes, which
+    are broadcast, and their rows stay where they are. All other rows meet the store. Whichever way a row takes, it gets the same bytes.
+    """
+    top = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(hex(digest), {MOST_HOT}, {MOST_HOT * 16})").alias("top")).first()
+    least = max(top.n / MOST_HOT, HOT_USES)
+    hot = [bytes.fromhex(x["item"]) for x in top.top or [] if x["item"] and x["count"] > least][:MOST_HOT]
+    if not hot:
+        return rows.join(chunk_store, "digest")
+    is_hot = F.col("digest").isin([F.lit(d) for d in hot])
+    return rows.where(~is_hot).join(chunk_store, "digest").unionByName(rows.where(is_hot).join(F.broadcast(chunk_store.where(is_hot)), "digest"))
+
+
+def distinct_recipes(recipe_rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(recipe, digests), each recipe once, as a table of its own."""
+    return scratch.table(recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests")), "distinct-recipes", "zstd")
+
+
 def restored(recipe_rows: DataFrame, chunk_store: DataFrame) -> DataFrame:
     """Payload facts of each distinct recipe, from the stored chunks: (recipe, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
-    listed = recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests"))
+    return restored_distinct(distinct_recipes(recipe_rows, Scratch(chunk_store.sparkSession)), chunk_store)
+
+
+def restored_distinct(listed: DataFrame, chunk_store: DataFrame) -> DataFrame:
+    """`restored` of rows (recipe, digests) that are distinct, and that may be read several times."""
     n = int(chunk_store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def parts(where: str) -> DataFrame:
         rows = listed.where(where).select("recipe", F.posexplode("digests").alias("seq", "digest"))
-        return rows.join(chunk_store, "digest").select("recipe", "seq", "digest", "packed")
+        # Recipes are distinct: one chunk alone is a recipe once.
+        met = rows.join(chunk_store, "digest") if where == "size(digests) = 1" else _with_bytes(rows, chunk_store)
+        return met.select("recipe", "seq", "digest", "packed")
 
     def run(batches):
         import zstandard
@@ -218,7 +247,7 @@ def restore_payloads(recipe_rows: DataFrame, chunk_store: DataFrame) -> DataFram
                 raise ValueError(f"chunk {d.hex()} is damaged")
         return pa.table({"recipe": pa.array([key[0].as_py()], pa.binary()), "payload": pa.array([b"".join(raw)], pa.binary())})
 
-    return listed.join(chunk_store, "digest").groupBy("recipe").applyInArrow(join, "recipe binary, payload binary")
+    return _with_bytes(listed, chunk_store).groupBy("recipe").applyInArrow(join, "recipe binary, payload binary")
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,13 +255,15 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     listed = scratch.table(recipes(docs), "recipes", "zstd")
+    distinct = distinct_recipes(listed, scratch)
+    free_shuffles(spark)
     path = new_path(spark, "chunks")
     scratch.paths["chunks"] = path
     name = f"chunk_store_{uuid.uuid4().hex}"
     chunk_store = store(docs.select("text"), path, name=name)
     free_shuffles(spark)
     time.sleep(1)  # the JVM's cleaner removes files in the background
-    facts = scratch.table(restored(listed, chunk_store), "facts", "zstd")
+    facts = scratch.table(restored_distinct(distinct, chunk_store), "facts", "zstd")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    scratch.drop("chunks")
+    scratch.drop("chunks", "distinct-recipes")
     return listed.select("doc_id", "n_bytes", "payload_bytes", "recipe").join(facts, "recipe").drop("recipe")

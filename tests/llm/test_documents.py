@@ -269,6 +269,25 @@ def test_media(spark, odd, empty):
     assert again.count() == 0 and media_chunks.recipes(empty.select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("uses", [0, 2, 1000])
+def test_hot_chunks_are_restored_alike(spark, monkeypatch, uses):
+    """Many texts that share passages of several chunks, whichever chunks are hot."""
+    monkeypatch.setattr(media_chunks, "HOT_USES", uses)
+    rng = np.random.default_rng(5)
+    shared = [rng.integers(32, 127, 40_000, np.uint8).tobytes().decode() for _ in range(2)]
+    texts = [shared[i % 2] + rng.integers(32, 127, 6000, np.uint8).tobytes().decode() for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = Scratch(spark).table(media_chunks.recipes(docs), "hot-r")
+    store = media_chunks.store(docs.select("text"), new_path(spark, "hot-c"))
+    facts = {bytes(r.recipe): r.payload_sha256 for r in media_chunks.restored(listed, store).collect()}
+    back = {bytes(r.recipe): bytes(r.payload) for r in media_chunks.restore_payloads(listed, store).collect()}
+    got = {r.doc_id: bytes(r.recipe) for r in listed.collect()}
+    for i, t in enumerate(texts):
+        p = t.encode()
+        p += bytes(-len(p) % 64)
+        assert back[got[i]] == p and facts[got[i]] == hashlib.sha256(p).hexdigest()
+
+
 def test_chunks_move_with_the_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, 200_000, np.uint8)
