@@ -12,7 +12,7 @@ schedule; cells that nobody owns are skipped. Slots are ranked by source, and sl
 its block r.
 
 Running sums go through hash buckets of (source, first digits of the md5) and ranks through chunks of slots, so a
-source with a third of all rows is many groups.
+source with a third of all rows is many groups; buckets and chunks grow in number with the documents and the slots.
 
 Defined results: null text has no words; documents without words are taken 0 times; a null source is a source of its
 own and the last; null doc_ids and repeated rows are documents like others (ties by size); extra columns are
@@ -21,14 +21,17 @@ ignored by `schedule`; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, load, prepare
 
 WEIGHTS, SHARE, MOST, SEED, BLOCK = (5, 2, 1), 1.5, 2, 7, 1024
-#: Hex digits of the shuffle key that make a bucket; chunks of the schedule in which slots are ranked.
-DIGITS, CHUNKS = 3, 2048
+#: Hex digits of the shuffle key that make a bucket, and chunks of the schedule in which slots are ranked: at least so many; and documents of a bucket and
+#: slots of a chunk, about, where there are more.
+DIGITS, CHUNKS, GROUP = 3, 2048, 1 << 16
 #: What WORD doesn't match.
 BLANKS = r"[\x20\x09-\x0D]*"
 
@@ -53,9 +56,11 @@ def schedule(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
     The schedule has a row for each piece of a document in a block: slot (place in the mix), skey, block, rid, epoch (which of its
     repeats), lo, hi (the words [lo, hi) of the document). rid must be unique and must not change when docs is read again.
     """
+    # The order within a source doesn't turn on the number of digits: a bucket is a range of shuffle keys.
+    digits = max(DIGITS, math.ceil(math.log(max(docs.count(), 1) / GROUP, 16)))
     skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    docs = docs.select("rid", "doc_id", "source", F.col("size").cast("long").alias("size"), skey.alias("skey"), digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, DIGITS))
+    docs = docs.select("rid", "doc_id", "source", F.col("size").cast("long").alias("size"), skey.alias("skey"), digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, digits))
     by_bucket = scratch.table(docs.groupBy("source", "skey", "bucket").agg(F.sum("size").alias("words")), "buckets")
     sources = targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     # Words taken of a source: its target, to the nearest word; and the blocks that hold them.
@@ -69,7 +74,7 @@ def schedule(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
     run = 4096
     slots = sources.where("blocks > 0").select("skey", "cell", "blocks", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {run})")).alias("run"))
     slots = slots.repartition("skey", "run").select("skey", F.explode(F.expr(f"sequence(cell + run * {run}, cell + least(blocks, (run + 1) * {run}) - 1)")).alias("c"))
-    slots = slots.select("skey", F.expr(f"cast(conv(reverse(lpad(bin(c), {bits}, '0')), 2, 10) as bigint)").alias("slot")).withColumn("chunk", F.expr(f"slot div {max(1, (1 << bits) // CHUNKS)}"))
+    slots = slots.select("skey", F.expr(f"cast(conv(reverse(lpad(bin(c), {bits}, '0')), 2, 10) as bigint)").alias("slot")).withColumn("chunk", F.expr(f"slot div {max(1, min((1 << bits) // CHUNKS, GROUP))}"))
     slots = scratch.table(slots, "slots")
     counts = slots.groupBy("skey", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("skey", "chunk", (F.sum("n").over(Window.partitionBy("skey").orderBy("chunk")) - F.col("n")).alias("before"))

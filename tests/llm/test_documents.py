@@ -174,6 +174,18 @@ def test_mixing(spark, odd, empty):
     assert all(abs(half[s] - n / 2) <= 6 for s, n in seen.items())
 
 
+def test_the_mix_does_not_turn_on_its_groups(spark, odd, monkeypatch):
+    """Many small buckets and chunks give the same schedule as few."""
+    docs = mixing.sized(odd.select("doc_id", "source", "text")).coalesce(1).withColumn("rid", F.monotonically_increasing_id()).drop("text")
+    docs = Scratch(spark).table(docs, "mix-groups")
+    got = []
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    for group in (1 << 16, 2):
+        monkeypatch.setattr(mixing, "GROUP", group)
+        got.append(sorted(tuple(r) for r in mixing.schedule(docs, Scratch(spark), block=16)[1].collect()))
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
 def test_mix_documents(odd, empty):
     out = mixing.mix_documents(odd)
     assert out.columns == odd.columns and out.count() > 0 and mixing.mix_documents(empty).count() == 0
